@@ -36,7 +36,26 @@ scored AS (
 
 _WORDS = "list_sort(list_distinct(list_filter(list_transform(string_split({0}, '__'), lambda w: lower(trim(w))), lambda w: w <> '')))"
 
+_P1 = f"""
+WITH {_TWEETS},
+members AS (
+  SELECT DISTINCT bucket_id, id FROM (SELECT bucket_id, unnest(twitter).id AS id FROM general_bucket) WHERE id IS NOT NULL),
+tweet_size AS (SELECT id, count(*) AS n FROM held GROUP BY id),
+bucket_size AS (SELECT bucket_id, count(*) AS n FROM members GROUP BY bucket_id),
+tweet_pairs AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS both_hold FROM held x JOIN held y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2),
+bucket_pairs AS (
+  SELECT x.bucket_id AS a, y.bucket_id AS b, count(*) AS both_hold
+  FROM members x JOIN members y ON x.id = y.id AND x.bucket_id < y.bucket_id GROUP BY 1, 2)
+SELECT 'tweet' AS kind, a AS key_a, b AS key_b FROM tweet_pairs
+JOIN tweet_size x ON x.id = a JOIN tweet_size y ON y.id = b WHERE both_hold * 5 >= 4 * (x.n + y.n - both_hold)
+UNION ALL
+SELECT 'bucket', a, b FROM bucket_pairs
+JOIN bucket_size x ON x.bucket_id = a JOIN bucket_size y ON y.bucket_id = b WHERE both_hold * 5 >= 3 * (x.n + y.n - both_hold)
+"""
+
 ORACLES = {
+    "p1_found": _P1,
     "p2_counts": _P2,
     "p2_found": f"SELECT term, mark FROM ({_P2}) WHERE mark IS NOT NULL",
     "p3_found": """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from emberline.llm.cooccurrence import lift, odds_ratio, pair_counts, with_term_
 from emberline.llm.first_rows import first_rows
 from emberline.llm.ngram_counts import mark_terms, ngram_counts
 from emberline.llm.seen_keys import seen_before, seen_errors
-from emberline.llm.terms import clean_terms
+from emberline.llm.sketch_forest import similar_pairs
+from emberline.llm.terms import clean_terms, term_set
 from emberline.session import cut
 from emberline.sources import read_table
 
@@ -24,6 +27,35 @@ def _tweets(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataF
     return first_rows(read_table(spark, sf_dir, "tweet"), "id", ["ts", "line_no"], columns)
 
 
+#: Of tweets by their terms and of buckets by their members: least similarity and trees.
+TWEETS_ALIKE, TWEET_TREES = Fraction(4, 5), 20
+BUCKETS_ALIKE, BUCKET_TREES = Fraction(3, 5), 24
+
+
+def _term_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tweets, _ = _tweets(spark, sf_dir, ["keywords"])
+    return tweets.select("id", term_set(F.col("keywords")).alias("items"))
+
+
+def _member_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "general_bucket").select("bucket_id", F.col("twitter.id").alias("items"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of tweets with nearly the same terms and of buckets with nearly the same members."""
+    tweets, _ = similar_pairs(_term_sets(spark, sf_dir), "id", "items", TWEETS_ALIKE, TWEET_TREES)
+    buckets, _ = similar_pairs(_member_sets(spark, sf_dir), "bucket_id", "items", BUCKETS_ALIKE, BUCKET_TREES)
+    both = tweets.withColumn("kind", F.lit("tweet")).unionByName(buckets.withColumn("kind", F.lit("bucket")))
+    return both.select("kind", "key_a", "key_b").distinct()
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tweet with terms: its class (the smallest id with the same set) and the number of other classes alike."""
+    links, groups = similar_pairs(_term_sets(spark, sf_dir), "id", "items", TWEETS_ALIKE, TWEET_TREES, copies=False)
+    degree = links.select(F.explode(F.array("key_a", "key_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return groups.join(degree, "rep", "left").select(F.col("key").alias("id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each term of the tweets' keywords: how often it occurs, how many tweets hold it, and its mark or null."""
     tweets, total = _tweets(spark, sf_dir, ["keywords"])
@@ -93,6 +125,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p3_found": p3_found,
