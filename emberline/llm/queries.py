@@ -7,10 +7,12 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm.bpe import encode_texts
 from emberline.llm.components import connected_components
 from emberline.llm.cooccurrence import lift, odds_ratio, pair_counts, with_term_counts
 from emberline.llm.first_rows import first_rows
 from emberline.llm.ngram_counts import mark_terms, ngram_counts
+from emberline.llm.packing import fill_containers
 from emberline.llm.seen_keys import seen_before, seen_errors
 from emberline.llm.sketch_forest import similar_pairs
 from emberline.llm.terms import clean_terms, term_set
@@ -124,6 +126,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("vertex").alias("bucket_id"), F.col("component").alias("group_id"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document by byte_bpe_50k."""
+    return encode_texts(read_table(spark, sf_dir, "documents"))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or of each piece of one above the capacity, for each capacity of ``pack_size``."""
+    sizes = cut(encode_texts(read_table(spark, sf_dir, "documents"), counts=True))
+    placed = fill_containers(sizes, "doc_id", "tokens", read_table(spark, sf_dir, "pack_size"))
+    return placed.withColumnRenamed("key", "doc_id")
+
+
+def p9_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity the containers, the tokens in them and the share of unused space."""
+    boxes = p9_fill(spark, sf_dir).groupBy("pack_id", "capacity", "container").agg(F.sum("tokens").alias("tokens"))
+    use = boxes.groupBy("pack_id", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+    return use.withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -134,4 +155,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_scores": p4_scores,
     "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_fill": p9_fill,
+    "p9_use": p9_use,
 }
