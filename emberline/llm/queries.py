@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.llm.bpe import encode_texts
 from emberline.llm.components import connected_components
 from emberline.llm.cooccurrence import lift, odds_ratio, pair_counts, with_term_counts
+from emberline.llm.encoding_repair import garbled, letters_of
 from emberline.llm.first_rows import first_rows
 from emberline.llm.ngram_counts import mark_terms, ngram_counts
 from emberline.llm.packing import fill_containers
@@ -101,6 +102,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_scores(spark, sf_dir).where("exceeds").select("term_a", "term_b")
 
 
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled tweets and Instagram names with the restored text; ``complete`` if no sign of garbling is left."""
+    letters = letters_of(read_table(spark, sf_dir, "lang_sample"))
+    tweets = garbled(read_table(spark, sf_dir, "tweet").where("id IS NOT NULL"), ["id"], "text", letters)
+    tweets = tweets.select(F.lit("tweet").alias("kind"), F.col("id").cast("string").alias("rec_key"), "text", "restored", "layers", "complete")
+    items = read_table(spark, sf_dir, "general_bucket").select(F.explode("instagram").alias("item")).where("item.url IS NOT NULL").select("item.url", "item.name")
+    names = garbled(items, ["url"], "name", letters)
+    names = names.select(F.lit("instagram").alias("kind"), F.col("url").alias("rec_key"), F.col("name").alias("text"), "restored", "layers", "complete")
+    return tweets.unionByName(names).dropDuplicates(["kind", "rec_key"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tweets and Instagram items with wrongly decoded characters."""
+    return p6_repaired(spark, sf_dir).select("kind", "rec_key")
+
+
 def _signature(words) -> F.Column:
     """The words of a signature, clean, distinct and sorted; null if there is none."""
     clean = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(words, "__"), lambda w: F.lower(F.trim(w))), lambda w: w != "")))
@@ -154,6 +171,8 @@ QUERIES = {
     "p3_errors": p3_errors,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p6_found": p6_found,
+    "p6_repaired": p6_repaired,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_fill": p9_fill,
