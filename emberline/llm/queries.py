@@ -12,6 +12,7 @@ from emberline.llm.components import connected_components
 from emberline.llm.cooccurrence import lift, odds_ratio, pair_counts, with_term_counts
 from emberline.llm.encoding_repair import garbled, letters_of
 from emberline.llm.first_rows import first_rows
+from emberline.llm.language_models import fit, languages, named_language
 from emberline.llm.ngram_counts import mark_terms, ngram_counts
 from emberline.llm.packing import fill_containers
 from emberline.llm.seen_keys import seen_before, seen_errors
@@ -102,6 +103,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_scores(spark, sf_dir).where("exceeds").select("term_a", "term_b")
 
 
+def _languages(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
+    samples = read_table(spark, sf_dir, "lang_sample")
+    models = fit(samples, read_table(spark, sf_dir, "documents"))
+    tweets = read_table(spark, sf_dir, "tweet").where("id IS NOT NULL").withColumn("named", named_language(F.col("lang")))
+    return languages(tweets, ["id", "named"], "text", models, letters_of(samples), every)
+
+
+def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage of a tweet that is a sentence, with its language and confidence, and the language its label names."""
+    return _languages(spark, sf_dir, True).dropDuplicates(["id", "passage"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of a tweet's sentences that its label doesn't name."""
+    found = _languages(spark, sf_dir, False).where("named IS NULL OR named <> found")
+    return found.select("id", F.col("found").alias("lang")).distinct()
+
+
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The garbled tweets and Instagram names with the restored text; ``complete`` if no sign of garbling is left."""
     letters = letters_of(read_table(spark, sf_dir, "lang_sample"))
@@ -171,6 +190,8 @@ QUERIES = {
     "p3_errors": p3_errors,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p5_found": p5_found,
+    "p5_passages": p5_passages,
     "p6_found": p6_found,
     "p6_repaired": p6_repaired,
     "p7_found": p7_found,
