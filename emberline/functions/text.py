@@ -58,19 +58,21 @@ def keywords(text: Column, config: EngineConfig = DEFAULT) -> Column:
     return F.array_sort(F.array_distinct(words))
 
 
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with the value computed once, also where the optimizer moves its expression into a filter."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def keyword_pairs(words: Column) -> Column:
     """All pairs of words that aren't neighbours, first word first; none below three words."""
-    size = F.size(words)
-    last = lambda i: F.transform(F.sequence(i + 2, size), lambda j: F.struct(F.element_at(words, i).alias("a"), F.element_at(words, j).alias("b")))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), size - 2), last))
-    return F.when(size >= 3, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    pair = lambda a: lambda b: F.struct(a.alias("a"), b.alias("b"))
+    return _bound(words, lambda w: F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 3, F.greatest(F.size(w), F.lit(0))), pair(a)))))
 
 
 def adjacent_pairs(words: Column) -> Column:
     """The pairs of neighbouring words."""
-    size = F.size(words)
-    pair = lambda i: F.struct(F.element_at(words, i).alias("a"), F.element_at(words, i + 1).alias("b"))
-    return F.when(size >= 2, F.transform(F.sequence(F.lit(1), size - 1), pair)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    pair = lambda a: lambda b: F.struct(a.alias("a"), b.alias("b"))
+    return _bound(words, lambda w: F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, 1), pair(a)))))
 
 
 def pair_key(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT
@@ -38,16 +38,20 @@ def redundant_pairs(posts: DataFrame, floor: float = DEFAULT.pair_removal) -> Da
     Only neighbouring pairs are candidates, so the posts with both words are counted by a join of the candidates with
     the posts' own pairs (neighbours and others), not by a self-join of the words.
     """
-    return _together(posts.select("id", "keywords"), floor, [])
+    return _together(posts.select("id", "keywords"), floor)
 
 
-def _together(posts: DataFrame, floor: float, by: list[str]) -> DataFrame:
-    near = posts.select(*by, "id", F.explode(T.adjacent_pairs(F.col("keywords"))).alias("p")).select(*by, "id", "p.a", "p.b")
-    far = posts.select(*by, "id", F.explode(T.keyword_pairs(F.col("keywords"))).alias("p")).select(*by, "id", "p.a", "p.b")
-    together = near.groupBy(*by, "a", "b").agg(F.count_distinct("id").alias("together"))
-    both = near.unionByName(far).join(together.select(*by, "a", "b"), [*by, "a", "b"], "left_semi")
-    total = both.groupBy(*by, "a", "b").agg(F.count_distinct("id").alias("total"))
-    return together.join(total, [*by, "a", "b"]).where(F.col("together").cast("double") / F.col("total") >= floor)
+def _together(posts: DataFrame, floor: float, by: str | None = None, spread: Column | None = None) -> DataFrame:
+    """The pairs of neighbours, in each value of ``by`` to which ``spread`` sends a post. Pairs that are never neighbours go first."""
+    pairs = lambda words: posts.select(*[c for c in posts.columns if c != "keywords"], F.explode(words).alias("p")).select("*", "p.a", "p.b").drop("p")
+    near, far = pairs(T.adjacent_pairs(F.col("keywords"))), pairs(T.keyword_pairs(F.col("keywords")))
+    far = far.join(near.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    both = near.withColumn("_near", F.lit(1)).unionByName(far.withColumn("_near", F.lit(0)))
+    keys = [by] if by else []
+    both = both.withColumn(by, spread) if by else both
+    once = both.groupBy(*keys, "a", "b", "id").agg(F.max("_near").alias("_near"))
+    counts = once.groupBy(*keys, "a", "b").agg(F.sum("_near").alias("together"), F.count(F.lit(1)).alias("total")).where("together > 0")
+    return counts.where(F.col("together").cast("double") / F.col("total") >= floor)
 
 
 def diversified(posts: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
@@ -61,5 +65,5 @@ def sticky_pairs(posts: DataFrame, lookback: int = DEFAULT.lookback, floor: floa
     """``w, a, b, together, total``: the same for each file with the ``lookback`` files before it."""
     numbered = posts.join(F.broadcast(hours(posts)), "ts")  # one row a file
     last = numbered.agg(F.max("ord")).first()[0] or 0
-    seen = F.explode(F.sequence("ord", F.least(F.col("ord") + lookback, F.lit(last))))
-    return _together(numbered.select(seen.alias("w"), "id", "keywords"), floor, ["w"])
+    windows = F.explode(F.sequence("ord", F.least(F.col("ord") + lookback, F.lit(last))))
+    return _together(numbered.select("ord", "id", "keywords"), floor, "w", windows)

@@ -204,7 +204,7 @@ def consolidate(spark, d):
 
 
 def absorb(spark, d):
-    """Consolidated buckets after absorbing each other: the posts of each bucket of the last window of each day."""
+    """Consolidated buckets after absorbing each other, with their posts."""
     found, rows = _found(spark, d)
     clusters = cluster.consolidated(found, rows)
     number = clusters.select("w", "root").distinct().withColumn("bucket", F.xxhash64("w", "root"))
@@ -345,8 +345,8 @@ def stream_popular(spark, d):
 
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    source = f"{d}/tweet.parquet"
-    stream = post_stream(spark, source, posts(spark, d).schema)
+    # A table may be one file or a directory of files; the pattern takes either.
+    stream = post_stream(spark, f"{d}/tweet.parquet*", posts(spark, d).schema)
     replay_popular(stream, f"{root}/popular", f"{root}/state")
     return spark.read.parquet(f"{root}/popular").select("ts", "kwp", "n")
 
