@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from emberline.session import cut
 
 #: Pairs per record and per bucket from which the number of buckets follows; both only size tasks.
-PAIRS_A_RECORD, PAIRS_A_BUCKET, LEAST_BUCKETS = 60, 2_000_000, 24
+PAIRS_A_RECORD, PAIRS_A_BUCKET, LEAST_BUCKETS = 60, 250_000, 24
 #: Ambiguous codes that are sent with the task that counts their words; beyond it they are joined.
 SENT_CODES = 100_000
 
