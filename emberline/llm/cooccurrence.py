@@ -2,13 +2,14 @@
 
 A term's 32-bit fingerprint is one half of a pair's code. Each scan batch gives sorted, run-length counted runs, cut by
 code into buckets and sent as blocks of bytes; a bucket merges its runs and counts again, in memory bounded by its
-distinct codes, and the number of buckets follows the number of records. Codes of two pairs can agree; a code that
-passes the count is decoded by the table of terms, and if one of its halves belongs to several terms, or to none of the
-table, its pairs are counted again by their words. So all counts are exact.
+distinct codes, and the number of buckets follows the number of records. The batches' distinct words go the same way
+and give the table that decodes. Codes of two pairs can agree; a code that passes the count and has a half that belongs
+to several words has its pairs counted again by their words. So all counts are exact.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -75,7 +76,12 @@ def _runs(bits: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, code, a, _, b, _ = _codes(batch, bits)
+            row, code, a, names, b, prints = _codes(batch, bits)
+            used = np.zeros(len(names), bool)
+            used[a] = used[b] = True
+            vocabulary: dict[int, list[str]] = {}
+            for k in np.flatnonzero(used).tolist():
+                vocabulary.setdefault(-1 - int(prints[k]) % buckets, []).append(names[k])
             # Once a record: equal pairs of a record have equal words, in either order.
             order = np.lexsort((np.maximum(a, b), np.minimum(a, b), row, code))
             row, code, low, high = row[order], code[order], np.minimum(a, b)[order], np.maximum(a, b)[order]
@@ -88,9 +94,9 @@ def _runs(bits: int, buckets: int):
             ends = np.append(cuts[1:], len(to))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(to[cuts].astype(np.int32)),
-                    pa.array([np.diff(code[i:j], prepend=np.uint64(0)).tobytes() for i, j in zip(cuts, ends)], pa.binary()),
-                    pa.array([n[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts, ends)], pa.binary()),
+                    pa.array([*to[cuts].tolist(), *vocabulary], pa.int32()),
+                    pa.array([*(np.diff(code[i:j], prepend=np.uint64(0)).tobytes() for i, j in zip(cuts, ends)), *(json.dumps(w).encode() for w in vocabulary.values())], pa.binary()),
+                    pa.array([*(n[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts, ends)), *[b""] * len(vocabulary)], pa.binary()),
                 ],
                 ["bucket", "codes", "counts"],
             )
@@ -98,9 +104,11 @@ def _runs(bits: int, buckets: int):
     return run
 
 
-def _merge(least: int):
+def _merge(least: int, bits: int):
+    """Counts of at least ``least`` of the codes of each bucket; of a bucket below 0 its distinct words, with their fingerprints."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, size, code, n = None, [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        bucket, held, size, code, n, words = None, [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), set()
 
         def compact() -> tuple[np.ndarray, np.ndarray]:
             every = np.concatenate([code, *(x for x, _ in held)])
@@ -109,16 +117,24 @@ def _merge(least: int):
             return _count_runs(every[order], counts[order])
 
         def result() -> pa.RecordBatch:
-            keep = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(code[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["code", "n"])
+            if words:
+                own = sorted(words)
+                columns = [pa.array([fingerprint(w, bits) for w in own], pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(own, pa.string())]
+            else:
+                keep = n >= least
+                columns = [pa.array(code[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["code", "n", "word"])
 
         for batch in batches:
             for at, codes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if at != bucket and bucket is not None:
                     code, n = compact()
                     yield result()
-                    held, size, code, n = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    held, size, code, n, words = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), set()
                 bucket = at
+                if at < 0:
+                    words.update(json.loads(codes.as_py()))
+                    continue
                 held.append((np.cumsum(np.frombuffer(codes.as_py(), np.uint64), dtype=np.uint64), np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)))
                 size += len(held[-1][0])
                 if size > max(4_000_000, len(code)):
@@ -161,23 +177,21 @@ def _words(bits: int, wanted: np.ndarray | None):
     return run
 
 
-def pair_counts(records: DataFrame, pairs: str, terms: DataFrame, count: int, least: int = 1, bits: int = 32) -> DataFrame:
+def pair_counts(records: DataFrame, pairs: str, count: int, least: int = 1, bits: int = 32) -> DataFrame:
     """``term_a, term_b, n``: the records that hold both words as one pair, in either order, for each n >= ``least``.
 
-    ``pairs`` is a column of array<struct<a,b>>, one row a record (repeated rows count each time); ``terms`` has the
-    distinct column ``term`` with the words expected in them (others are found too, by a second scan); ``count`` is
-    about the number of records and only sizes tasks. Words are taken without outer blanks, in lower case; pairs with a
-    null or empty word, of a word with itself, and repeats inside a record don't count. Null or empty arrays and an
-    empty table give nothing. term_a < term_b by code points.
+    ``pairs`` is a column of array<struct<a,b>>, one row a record (repeated rows count each time); ``count`` is about the
+    number of records and only sizes tasks. Words are taken without outer blanks, in lower case; pairs with a null or
+    empty word, of a word with itself, and repeats inside a record don't count. Null or empty arrays and an empty table
+    give nothing. term_a < term_b by code points.
     """
     buckets = max(LEAST_BUCKETS, math.ceil(count * PAIRS_A_RECORD / PAIRS_A_BUCKET))
     lists = records.select(pairs).where(F.size(pairs) > 0)
     runs = lists.mapInArrow(_runs(bits, buckets), "bucket int, codes binary, counts binary")
     merged = runs.repartition("bucket").sortWithinPartitions("bucket")
-    counted = cut(merged.mapInArrow(_merge(least), "code bigint, n bigint"))
-    halves = counted.select("code", "n", F.shiftrightunsigned("code", 32).alias("_x"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("_y"))
-    prints = F.pandas_udf(lambda words: words.map(lambda w: fingerprint(w, bits)), "bigint")
-    named = terms.select("term", prints("term").alias("_h")).groupBy("_h").agg(F.min("term").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    counted = cut(merged.mapInArrow(_merge(least, bits), "code bigint, n bigint, word string"))
+    halves = counted.where("word IS NULL").select("code", "n", F.shiftrightunsigned("code", 32).alias("_x"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("_y"))
+    named = counted.where("word IS NOT NULL").groupBy(F.col("code").alias("_h")).agg(F.min("word").alias("_t"), F.count(F.lit(1)).alias("_k"))
     decoded = (
         halves.join(named.select(F.col("_h").alias("_x"), F.col("_t").alias("_a"), F.col("_k").alias("_ka")), "_x", "left")
         .join(named.select(F.col("_h").alias("_y"), F.col("_t").alias("_b"), F.col("_k").alias("_kb")), "_y", "left")

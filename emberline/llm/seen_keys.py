@@ -62,8 +62,8 @@ class BlockedBloom:
     def _where(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word and mask of every bit of every key, as arrays of (bits, keys)."""
         block = (_mix(keys, 1) >> np.uint64(1)) % np.uint64(self.blocks)
-        a, b = _mix(keys, 2), _mix(keys, 3) | np.uint64(1)
-        bit = np.stack([(a + np.uint64(i) * b) >> np.uint64(55) for i in range(self.bits)])
+        hashes = [_mix(keys, 2 + k) for k in range(-(-self.bits // 7))]  # nine bits of a hash name a bit of the block
+        bit = np.stack([(hashes[i // 7] >> np.uint64(9 * (i % 7))) & np.uint64(BLOCK_BITS - 1) for i in range(self.bits)])
         return block * np.uint64(8) + (bit >> np.uint64(6)), np.uint64(1) << (bit & np.uint64(63))
 
     def query(self, keys: np.ndarray) -> np.ndarray:
@@ -159,23 +159,29 @@ def seen_before(
     flagged = flagged.withColumnRenamed("_key", key)
     if not exact:
         return flagged.select(*order, key)
-    # A first arrival that the filter flagged, although no earlier table has the key, is a false positive.
-    asked = flagged.where("NOT repeat").groupBy(key, *order).agg(F.count(F.lit(1)).alias("_n"))
+    # A first arrival that the filter flagged, although no earlier table has the key, is a false positive. Of rows that
+    # agree in order and key one is new, so not all of them can be repeats.
+    place = [F.col(c).cast("bigint").alias(c) for c in order]
+    counted = flagged.groupBy(key, *order).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("repeat"), 1)).alias("_asked"))
+    asked = counted.where("_asked > 0")
     keys = asked.select(key).distinct()
-    first = rows.join(keys, key, "left_semi").groupBy(key).agg(F.min(F.struct(*[F.col(c).cast("bigint").alias(c) for c in order])).alias("_first"))
+    arrivals = rows.join(keys, key, "left_semi").groupBy(key, *place).agg(F.count(F.lit(1)).alias("_all"))
+    first = arrivals.groupBy(key).agg(F.min(F.struct(*order, "_all")).alias("_first"))
     if earlier is not None:
         old = earlier.select(key).join(keys, key, "left_semi").distinct().withColumn("_old", F.lit(True))
         first = first.join(old, key, "left")
     else:
         first = first.withColumn("_old", F.lit(None).cast("boolean"))
-    new = (F.struct(*order) == F.col("_first")) & F.col("_old").isNull()
-    checked = asked.join(first, key).withColumn("_n", F.when(new, F.col("_n") - 1).otherwise(F.col("_n"))).where("_n > 0")
-    checked = checked.select(*order, key, F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("col")
-    return flagged.where("repeat").select(*order, key).unionByName(checked)
+    new = (F.struct(*order) == F.struct(*[F.col(f"_first.{c}").alias(c) for c in order])) & F.col("_old").isNull()
+    checked = asked.join(first, key).withColumn("_n", F.when(new, F.least(F.col("_n"), F.col("_first._all") - 1)).otherwise(F.col("_n")))
+    result = counted.where("_asked = 0").select(*order, key, "_n").unionByName(checked.select(*order, key, "_n"))
+    return result.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*order, key)
 
 
 def seen_errors(rows: DataFrame, key: str, order: list[str], earlier: DataFrame | None = None, target: float = 1e-4, per_shard: int = 2_000_000) -> DataFrame:
-    """Per shard its ``keys``, ``bits``, the ``absent`` keys asked for, and how many were ``false_positives``.
+    """Per shard the ``keys`` inserted, its ``bits``, the ``absent`` keys asked for, and how many were ``false_positives``.
+
+    Keys that the filter took for seen are not inserted again.
 
     The absent keys are drawn from below the smallest key that occurs, so that none of them was ever inserted. An empty
     table gives no rows.
