@@ -85,11 +85,12 @@ def bursts_carried(counts: DataFrame, config: EngineConfig = DEFAULT) -> DataFra
 
 
 def bucket_members(found: DataFrame, posts: DataFrame, files: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """``w, kwp, ts, id, keywords``: the posts of each found pair in its window, from hours in which the pair is popular."""
+    """``w, kwp, ts, id, keywords, text``: the posts of each found pair in its window, from hours in which the pair is popular."""
     length = config.window_hours
     ts_dim = F.broadcast(hours(files))  # one row a file
-    pairs = posts.select("ts", "id", "keywords", F.explode("kwpairs").alias("p")).select("ts", "id", "keywords", T.pair_key(F.col("p.a"), F.col("p.b")).alias("kwp"))
+    own = ["ts", "id", "keywords", "text"]
+    pairs = posts.select(*own, F.explode("kwpairs").alias("p")).select(*own, T.pair_key(F.col("p.a"), F.col("p.b")).alias("kwp"))
     popular = popular_counts(posts, config.hourly_floor).select("ts", "kwp").join(found.select("kwp").distinct(), "kwp", "left_semi")
     rows = pairs.join(popular, ["ts", "kwp"], "left_semi").join(ts_dim, "ts")
     inside = (F.col("ord") <= F.col("w")) & (F.col("ord") > F.col("w") - length)
-    return rows.join(found.select("w", "kwp"), "kwp").where(inside).select("w", "kwp", "ts", "id", "keywords")
+    return rows.join(found.select("w", "kwp"), "kwp").where(inside).select("w", "kwp", "ts", "id", "keywords", "text")

@@ -10,6 +10,7 @@ from emberline.functions import dates, measures, tweets
 from emberline.functions import text as T
 from emberline.operators import buckets as B
 from emberline.operators import cluster, detect, fusion, match, prepare, report, stats, track
+from emberline.plans import pipeline
 from emberline.sources import read_table
 from emberline.sources.files import item_buckets, parse_lines
 from emberline.session import cut
@@ -185,9 +186,7 @@ def burst_carryover(spark, d):
 
 
 def _found(spark, d):
-    rows = cut(ready(spark, d))
-    found = cut(detect.bursts_carried(detect.window_counts(rows, posts(spark, d))))
-    return found, detect.bucket_members(found, rows, posts(spark, d))
+    return pipeline.detected(posts(spark, d))
 
 
 def topk_tokens(spark, d):
@@ -205,14 +204,17 @@ def consolidate(spark, d):
 
 def absorb(spark, d):
     """Consolidated buckets after absorbing each other, with their posts."""
-    found, rows = _found(spark, d)
-    clusters = cluster.consolidated(found, rows)
-    number = clusters.select("w", "root").distinct().withColumn("bucket", F.xxhash64("w", "root"))
-    own = rows.join(clusters, ["w", "kwp"]).join(number, ["w", "root"]).select("w", "bucket", "id", F.col("keywords").alias("tokens")).dropDuplicates(["w", "bucket", "id"])
-    merged = cluster.absorbed(own)
+    own = pipeline.consolidated_members(*_found(spark, d))
+    merged = cluster.absorbed(own.select("w", "bucket", "id", T.preset(F.col("text"), "merge").alias("tokens")))
     return merged.groupBy("w", "bucket").agg(F.count(F.lit(1)).alias("posts"))
 
 
+def pipeline_events(spark, d):
+    """The events of the whole chain: in how many windows each was seen, with how many posts."""
+    told = pipeline.events(posts(spark, d))["summary"]
+    return told.groupBy("event_id").agg(F.min("w").alias("first"), F.max("w").alias("last"), F.count_distinct("id").alias("posts"), F.max("closed").alias("closed"))
+
+
 def bipartite_match(spark, d):
     rows = members(spark, d)
     return match.bucket_matches(rows, rows, DEFAULT.absorb_tweet, DEFAULT.absorb_bucket).where("a <> b")
@@ -357,7 +359,7 @@ QUERIES = {
         normalize_text, tokenize, keyword_sets, kw_pairs, post_tokens, point_from_text, render_text, account_links, url_ids, raw_lines,
         dedup_first_seen, dedup_across_files, query_filter, lang_filter, project_fields, parse_created_at, time_compare, tanimoto_distance, vector_distance,
         hourly_buckets, popular_buckets, redundant_pairs, diversify, sticky_pairs, diversify_recent,
-        window_counts, info_gain, burst_detect, burst_carryover, topk_tokens, bucket_jaccard, consolidate, absorb,
+        window_counts, info_gain, burst_detect, burst_carryover, topk_tokens, bucket_jaccard, consolidate, absorb, pipeline_events,
         bipartite_match, absorb_buckets, post_graph, partition, token_df, token_counts, event_buckets, purify, pairwise_stats, overlap_stats,
         share_vectors, beta_moments, whole_beta, expectation_split, inter_intra_similarity, file_sample, exact_split,
         fuse_buckets, track_parent, track_events, track_summary, track_length, closed_events, text_report, item_bucket_rows, stream_popular,

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every query of the engine's own operators against its SQL on the smallest tables."""
 
 import glob
 import os
@@ -7,10 +7,10 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from emberline.plans.oracles import ORACLES as SQL
+from emberline.plans.queries import QUERIES
 
 DATA = os.environ.get("EMBERLINE_TEST_DATA", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 def _cell(value):
