@@ -16,7 +16,7 @@ def first_rows(df: DataFrame, key: str, order: list[str], columns: list[str], li
     joined by a shuffle. Nulls as key are left out; of rows that agree in key and order any one is kept (they are taken
     for the same row delivered twice); an empty table gives an empty result and 0.
     """
-    rows = df.where(F.col(key).isNotNull())
+    rows = df.select(*dict.fromkeys([key, *order, *columns])).where(F.col(key).isNotNull())
     place = F.struct(*order)
     repeats = cut(
         rows.groupBy(key, *order)

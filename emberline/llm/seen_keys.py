@@ -165,7 +165,7 @@ def seen_before(
     counted = flagged.groupBy(key, *order).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("repeat"), 1)).alias("_asked"))
     asked = counted.where("_asked > 0")
     keys = asked.select(key).distinct()
-    arrivals = rows.join(keys, key, "left_semi").groupBy(key, *place).agg(F.count(F.lit(1)).alias("_all"))
+    arrivals = rows.select(key, *order).join(keys, key, "left_semi").groupBy(key, *place).agg(F.count(F.lit(1)).alias("_all"))
     first = arrivals.groupBy(key).agg(F.min(F.struct(*order, "_all")).alias("_first"))
     if earlier is not None:
         old = earlier.select(key).join(keys, key, "left_semi").distinct().withColumn("_old", F.lit(True))
