@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.config import DEFAULT
 from emberline.functions import text as T
 from emberline.operators.prepare import hours
+from emberline.session import cut, small_or_not
 
 
 def hourly_buckets(posts: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def popular_counts(posts: DataFrame, floor: int = DEFAULT.hourly_floor) -> DataF
 def popular_buckets(posts: DataFrame, floor: int = DEFAULT.hourly_floor) -> DataFrame:
     """``ts, kwp, id`` of the buckets of at least ``floor`` posts in their file."""
     pairs = posts.select("ts", "id", F.explode("kwpairs").alias("p")).select("ts", "id", T.pair_key(F.col("p.a"), F.col("p.b")).alias("kwp"))
-    return pairs.join(popular_counts(posts, floor).select("ts", "kwp"), ["ts", "kwp"], "left_semi")
+    popular = cut(popular_counts(posts, floor).select("ts", "kwp"))
+    return pairs.join(small_or_not(popular), ["ts", "kwp"], "left_semi")
 
 
 def redundant_pairs(posts: DataFrame, floor: float = DEFAULT.pair_removal) -> DataFrame:

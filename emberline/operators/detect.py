@@ -10,7 +10,7 @@ from emberline.functions import text as T
 from emberline.functions.measures import information_gain
 from emberline.operators.buckets import popular_counts
 from emberline.operators.prepare import hours
-from emberline.session import cut
+from emberline.session import cut, small_or_not
 
 
 def _windows(rows: DataFrame, length: int, last: int, *columns: str) -> DataFrame:
@@ -35,7 +35,7 @@ def window_counts(posts: DataFrame, files: DataFrame, config: EngineConfig = DEF
         F.coalesce(F.sum(F.when(~F.col("now"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("now"), F.col("n"))), F.lit(0)).alias("b")
     ).where(F.col("b") >= config.window_floor)
     kept = posts.select("ts", "id", F.explode("kwpairs").alias("p")).select("ts", "id", T.pair_key(F.col("p.a"), F.col("p.b")).alias("kwp"))
-    ids = kept.join(counts.select("ts", "kwp"), ["ts", "kwp"], "left_semi").select("ts", "id").distinct().join(ts_dim, "ts")
+    ids = kept.join(small_or_not(counts.select("ts", "kwp")), ["ts", "kwp"], "left_semi").select("ts", "id").distinct().join(ts_dim, "ts")
     total = _windows(ids, length, last, "id").groupBy("w").agg(
         F.count_distinct(F.when(~F.col("now"), F.col("id"))).alias("before"), F.count_distinct(F.when(F.col("now"), F.col("id"))).alias("current")
     )
@@ -91,6 +91,6 @@ def bucket_members(found: DataFrame, posts: DataFrame, files: DataFrame, config:
     own = ["ts", "id", "keywords", "text"]
     pairs = posts.select(*own, F.explode("kwpairs").alias("p")).select(*own, T.pair_key(F.col("p.a"), F.col("p.b")).alias("kwp"))
     popular = popular_counts(posts, config.hourly_floor).select("ts", "kwp").join(found.select("kwp").distinct(), "kwp", "left_semi")
-    rows = pairs.join(popular, ["ts", "kwp"], "left_semi").join(ts_dim, "ts")
+    rows = pairs.join(small_or_not(cut(popular)), ["ts", "kwp"], "left_semi").join(ts_dim, "ts")
     inside = (F.col("ord") <= F.col("w")) & (F.col("ord") > F.col("w") - length)
     return rows.join(found.select("w", "kwp"), "kwp").where(inside).select("w", "kwp", "ts", "id", "keywords", "text")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, EngineConfig
 from emberline.functions import text as T
+from emberline.session import cut
 
 
 def hours(posts: DataFrame) -> DataFrame:
@@ -41,10 +42,15 @@ def keep_fields(posts: DataFrame, fields: Sequence[str]) -> DataFrame:
     return posts.select(*[f for f in fields if f in posts.columns])
 
 
-def prepared(posts: DataFrame, config: EngineConfig = DEFAULT, search: Sequence[str] = ()) -> DataFrame:
-    """``ts, id, text, keywords, kwpairs`` of the first deliveries with enough keywords; only with ``search`` words, if given."""
+def prepared(posts: DataFrame, config: EngineConfig = DEFAULT, search: Sequence[str] = (), written: bool = False) -> DataFrame:
+    """``ts, id, text, keywords, kwpairs`` of the first deliveries with enough keywords; only with ``search`` words, if given.
+
+    ``written`` writes the keywords once to the shared folder, for callers that read the posts more than once: the
+    optimizer otherwise repeats the tokenizing in every filter that it derives from them.
+    """
     rows = first_seen(posts.select("ts", "line_no", "id", "text"), least_id=config.least_id)
     rows = with_words(rows, search) if search else rows
     rows = rows.select("ts", "id", "text", T.keywords(F.col("text"), config).alias("keywords"))
     rows = rows.where(F.size("keywords") >= config.least_keywords)
+    rows = cut(rows) if written else rows
     return rows.withColumn("kwpairs", T.keyword_pairs(F.col("keywords")))

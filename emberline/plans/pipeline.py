@@ -13,7 +13,7 @@ from emberline.session import cut
 
 def detected(posts: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """The found pairs of every window and the posts of each."""
-    ready = cut(prepare.prepared(posts, config))
+    ready = prepare.prepared(posts, config, written=True)
     found = cut(detect.bursts_carried(detect.window_counts(ready, posts, config), config))
     return found, detect.bucket_members(found, ready, posts, config)
 

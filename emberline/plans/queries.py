@@ -20,8 +20,8 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "tweet")
 
 
-def ready(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.prepared(posts(spark, d))
+def ready(spark: SparkSession, d: str, written: bool = True) -> DataFrame:
+    return prepare.prepared(posts(spark, d), written=written)
 
 
 def first_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def tokenize(spark, d):
 
 
 def keyword_sets(spark, d):
-    return ready(spark, d).select("ts", "id", F.array_join("keywords", " ").alias("keywords"), F.size("keywords").alias("n"))
+    return ready(spark, d, False).select("ts", "id", F.array_join("keywords", " ").alias("keywords"), F.size("keywords").alias("n"))
 
 
 def kw_pairs(spark, d):
