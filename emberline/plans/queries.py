@@ -350,7 +350,7 @@ def stream_popular(spark, d):
     # A table may be one file or a directory of files; the pattern takes either.
     stream = post_stream(spark, f"{d}/tweet.parquet*", posts(spark, d).schema)
     replay_popular(stream, f"{root}/popular", f"{root}/state")
-    return spark.read.parquet(f"{root}/popular").select("ts", "kwp", "n")
+    return spark.read.parquet(f"{root}/popular").select(F.col("ts").cast("bigint").alias("ts"), "kwp", "n")
 
 
 QUERIES = {
