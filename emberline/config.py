@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 #: English function words that are no keywords (fixed values).
 STOP_WORDS = (
@@ -44,8 +44,10 @@ class EngineConfig:
     absorb_largest: int = 100
     cut_weight: float | None = 0.15
     huge_from: int = 30
-    huge_to: int = 200
-    huge_kept: int = 7
+    huge_to: int | None = 200
+    huge_kept: int | None = 7
+    cut_in_task: int = 200
+    cut_chunk: int = 1000
     least_part: int = 5
     mean_floor: float = 0.03
     purify_below: int = 100
@@ -58,3 +60,5 @@ class EngineConfig:
 
 
 DEFAULT = EngineConfig()
+#: Without the original's caps on huge buckets, which only saved time: every bucket is cut. The registered queries run with it.
+WHOLE = replace(DEFAULT, huge_to=None, huge_kept=None)

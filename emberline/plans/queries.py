@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.config import DEFAULT
+from emberline.config import DEFAULT, WHOLE
 from emberline.functions import dates, measures, tweets
 from emberline.functions import text as T
 from emberline.operators import buckets as B
@@ -211,7 +211,7 @@ def absorb(spark, d):
 
 def pipeline_events(spark, d):
     """The events of the whole chain: in how many windows each was seen, with how many posts."""
-    told = pipeline.events(posts(spark, d))["summary"]
+    told = pipeline.events(posts(spark, d), WHOLE)["summary"]
     return told.groupBy("event_id").agg(F.min("w").alias("first"), F.max("w").alias("last"), F.count_distinct("id").alias("posts"), F.max("closed").alias("closed"))
 
 
@@ -229,7 +229,7 @@ def post_graph(spark, d):
 
 
 def partition(spark, d):
-    return cluster.partitioned(members(spark, d, "partition"))
+    return cluster.partitioned(members(spark, d, "partition"), WHOLE)
 
 
 def token_df(spark, d):

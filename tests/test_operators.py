@@ -1,10 +1,11 @@
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.config import EngineConfig
+from emberline.config import WHOLE, EngineConfig
 from emberline.operators import buckets, cluster, components, detect, fusion, match, prepare, stats, track
 from emberline.sources.files import read_stage, write_csv, write_stage
 
@@ -211,3 +212,31 @@ def test_streams(spark, tmp_path):
 def test_split_is_exact(spark):
     split = stats.exact_split(spark.range(101).withColumnRenamed("id", "k"), "k").groupBy("train").count().collect()
     assert {r.train: r["count"] for r in split} == {True: 81, False: 20}
+
+
+def _mixed_posts(rng, n):
+    return [(i * 7 % n, [f"g{i % 4}{rng.randrange(9)}" for _ in range(rng.randrange(0, 9))] + ["all"] * (rng.random() < 0.1)) for i in range(n)]
+
+
+@pytest.mark.parametrize("weight", [None, 0.15, 0.3])
+def test_large_buckets_are_cut_by_many_tasks_as_by_one(spark, weight):
+    rng = random.Random(3)
+    df = _members(spark, [(1, 1, _mixed_posts(rng, 90)), (1, 2, _mixed_posts(rng, 130))])
+    one = EngineConfig(mean_floor=0.1, cut_weight=weight, huge_to=None, huge_kept=None)
+    many = replace(one, cut_in_task=31, cut_chunk=9)
+    got = sorted(map(tuple, cluster.partitioned(df, many).collect()))
+    assert got and got == sorted(map(tuple, cluster.partitioned(df, one).collect()))
+
+
+def test_no_huge_bucket_is_lost_without_caps(spark):
+    near = lambda n, word: [(i, [word, f"{word}{i % 3}"]) for i in range(n)]
+    df = _members(spark, [(1, b, near(31, f"n{b}")) for b in range(9)] + [(1, 50, near(450, "h"))])
+    got = {(r.bucket, r.part): r["count"] for r in cluster.partitioned(df, WHOLE).groupBy("bucket", "part").count().collect()}
+    assert got == {**{(b, 0): 31 for b in range(9)}, (50, 0): 450}
+
+
+def test_huge_kept_follows_signature_and_first_post(spark):
+    df = _members(spark, [(1, b, [(100 * (9 - b) + i, ["a"]) for i in range(31)]) for b in range(1, 4)])
+    kept = lambda d: [r.bucket for r in cluster.partitioned(d, EngineConfig(huge_kept=1)).select("bucket").distinct().collect()]
+    assert kept(df) == [3]
+    assert kept(df.withColumn("signature", F.when(F.col("bucket") == 2, "a").otherwise("b"))) == [2]
