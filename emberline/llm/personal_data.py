@@ -1,7 +1,7 @@
 """Personal information inside free text: anchor expansion.
 
 One Aho-Corasick pass over the lower-cased text finds anchors: at-signs and their written forms, digits, words of street
-names, given names and the beginnings of surnames. Around the anchors of a kind a window is cut (overlapping windows
+names, given names, the beginnings of surnames, and titles, roles and initials that a name follows. Around the anchors of a kind a window is cut (overlapping windows
 are joined), and a deterministic parser of that kind expands and validates the boundaries inside. Where items overlap,
 mail addresses go before identity numbers, phone numbers, street addresses and names.
 """
@@ -30,6 +30,9 @@ BEGINNINGS = ("Bram", "Corv", "Drax", "Ebb", "Fenn", "Gars", "Harr", "Ild", "Kes
 ENDINGS = ("alier", "ander", "ardo", "berry", "combe", "elli", "erby", "ette", "holt", "ino", "marsh", "mont", "ovic", "quist", "sten", "vik", "wick", "wyn")
 PARTICLES = ("de la", "de los", "van der", "van den", "van", "von", "di", "de", "del", "della", "da", "dos", "du", "al", "bin", "ten", "ter")
 TITLES = ("Dr", "Mr", "Mrs", "Ms", "Miss", "Prof", "Mme", "Mlle", "Herr", "Frau", "señor", "señora", "signor", "signora", "senhor", "senhora", "mevrouw", "meneer")
+#: What else a person's name follows, and what names its source, which may be an office.
+ROLES = ("contact person", "contact person:", "foto:", "photo:", "photo :", "photo by", "spoke with", "interview with", "missing since noon:", "missing:")
+SOURCES = ("according to", "laut", "selon", "según", "secondo", "segundo", "volgens")
 #: Words whose name is no person's, before a given name.
 NOT_PERSONS = ("storm", "hurricane", "tempête", "tormenta", "sturm", "orkan", "tempesta", "tempestade", "шторм")
 
@@ -47,7 +50,7 @@ def _any(words) -> str:  # noqa: ANN001
 
 @dataclass(frozen=True)
 class Directory:
-    """The lexicon that names are known by."""
+    """The lexicon that names are known by, and the cues that names outside of it follow."""
 
     given: tuple[str, ...] = GIVEN
     beginnings: tuple[str, ...] = BEGINNINGS
@@ -55,6 +58,8 @@ class Directory:
     particles: tuple[str, ...] = PARTICLES
     not_persons: tuple[str, ...] = NOT_PERSONS
     titles: tuple[str, ...] = field(default=TITLES)
+    roles: tuple[str, ...] = ROLES
+    sources: tuple[str, ...] = SOURCES
 
 
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_+\-])?"
@@ -95,6 +100,10 @@ _FRENCH = re.compile(rf"{_EDGE}\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:{_any(FRE
 _ROMANCE = re.compile(rf"(?<!\w)(?:{_any(ROMANCE_STREETS)}) ?(?:(?:de las|de los|de la|del|de|da|do|della|dei) )?[^\W\d_][\w'’\-]*,? (?:n[º°o]\.? ?)?\d{{1,4}}[A-Za-z]?(?!\w)(?:, \d+[º°ª] ?[A-Z]\b)?(?:, \d{{5}} [^\W\d_][\w\-]*)?", re.IGNORECASE)
 _GERMANIC = re.compile(rf"(?<!\w)[^\W\d_][^\W\d_\-]*(?:{_any(GERMANIC_STREETS)}) \d{{1,4}}[A-Za-z]?(?!\w)(?:, \d{{4,5}} [^\W\d_][\w\-]*)?", re.IGNORECASE)
 
+_UPPER = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
+_WORD = rf"[{_UPPER}](?:['’][{_UPPER}])?[^\W\d_]+(?:['’\-][{_UPPER}][^\W\d_]+)*"
+_INITIALS = rf"[{_UPPER}]\. ?(?:[{_UPPER}]\. ?)?"
+
 
 class Finder:
     """Finds the items of a text as (kind, start, end) in code points, in order and without overlap."""
@@ -112,12 +121,24 @@ class Finder:
             ("romance", [w + " " for w in ROMANCE_STREETS if w != "c/"] + ["c/"]),
             ("germanic", [w + " " for w in GERMANIC_STREETS]),
             ("name", [w.lower() for w in (*directory.given, *directory.beginnings)]),
+            ("cue", [w.lower() for w in (*directory.titles, *directory.roles, *directory.sources)]),
+            ("initial", [f"{before}{c.lower()}." for before in ": ,(" for c in _UPPER if len(c.lower()) == 1]),
         ):
             for word in words:
                 anchors.setdefault(word, set()).add(kind)
         for word, kinds in anchors.items():
             self.automaton.add_word(word, (len(word), tuple(kinds)))
         self.automaton.make_automaton()
+        # a name outside of the directory: capitalised, full or with an initial, after a cue
+        between = rf"(?:(?i:{_any(directory.particles)}) )?"
+        last = rf"{between}{_WORD}"
+        full = rf"{_INITIALS}{last}|{_WORD} (?:[{_UPPER}]\. ?)?{last}(?: {last})?|{last},? [{_UPPER}]\.(?!\w)"
+        cues = rf"(?i:(?:{_any(directory.titles)})\.?|{_any(directory.roles)})"
+        self.cued = re.compile(
+            rf"(?<![\w@#.\-/])(?:{cues} (?:(?i:{_any(directory.titles)})\.? )?(?P<name>{full}|{last}, {_WORD}(?: [{_UPPER}]\.)?)"
+            rf"|(?i:{_any(directory.sources)}) (?P<source>{full}))(?![\w@]|-\w)"
+        )
+        self.initials = re.compile(rf"(?<=[:,(.!?] )(?<![\w@#.\-/])(?P<name>{_INITIALS}{last})(?![\w@]|-\w)")
         given, particle = _any(directory.given), rf"(?:(?:{_any(directory.particles)}) )?"
         surname = rf"(?:{_any(directory.beginnings)})(?:{_any(directory.endings)})"
         surname = rf"{surname}(?:-{surname})?"
@@ -181,6 +202,10 @@ class Finder:
                     add("address", *m.span())
         for m in each("name", self.name):
             add("name", *m.span())
+        for m in each("cue", self.cued):
+            add("name", *m.span(m.lastgroup))
+        for m in each("initial", self.initials):
+            add("name", *m.span("name"))
         return sorted(found, key=lambda x: x[1])
 
     @staticmethod

@@ -175,3 +175,20 @@ def test_positions_are_code_points_and_the_rest_stays(spark):
     assert texts[3] == ("", 0)
     assert texts[5] == ("none", 0)
     assert personal_data.find_items(df.limit(0), ["doc_id"], "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Then Dr. Aurelia Okonkwo treated them", ["Aurelia Okonkwo"]),
+        ("Frau Łucja von Szymańska-Ortiz kam", ["Łucja von Szymańska-Ortiz"]),
+        ("Mrs Okonkwo, Aurelia lost her shop", ["Okonkwo, Aurelia"]),
+        ("Foto: JIRO TANAKA\nFogo no rio", ["JIRO TANAKA"]),
+        ("According to J. R. Okonkwo, the road was closed", ["J. R. Okonkwo"]),
+        ("we asked: A. Tanaka was there", ["A. Tanaka"]),
+        ("Laut den Leuten, plan B. The bridge. Dr who came; Storm Aurelia Okonkwo", []),
+        ("Live on 12 Oak Dr and 5 p.m. Then it rained", []),
+    ],
+)
+def test_names_outside_of_the_directory(text, names):
+    assert [text[a:b] for kind, a, b in personal_data.Finder()(text) if kind == "name"] == names
