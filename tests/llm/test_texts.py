@@ -192,3 +192,11 @@ def test_positions_are_code_points_and_the_rest_stays(spark):
 )
 def test_names_outside_of_the_directory(text, names):
     assert [text[a:b] for kind, a, b in personal_data.Finder()(text) if kind == "name"] == names
+
+
+@pytest.mark.parametrize("encoding", ["cp850", "cp866"])
+@pytest.mark.parametrize("text", [GOOD[0], GOOD[1], "Рынок закрыт, мы всё ещё ждём ответа", "“ok” – €5 über", "it’s closed, don’t wait", "fire 🔥 in the street"])
+def test_round_trip_through_dos_encodings(text, encoding):
+    table = {v: c for c, v in encoding_repair._bytes_of(encoding).items()}
+    bad = "".join(chr(b) if b < 128 else table[b] for b in text.encode())
+    assert REPAIR(bad) == (text, 1, True)
