@@ -15,7 +15,7 @@ from emberline.llm.first_rows import first_rows
 from emberline.llm.language_models import fit, languages, named_language
 from emberline.llm.ngram_counts import mark_terms, ngram_counts
 from emberline.llm.packing import fill_containers
-from emberline.llm.personal_data import find_items, redact
+from emberline.llm.personal_data import find_items, learn_parts, redact
 from emberline.llm.seen_keys import seen_before, seen_errors
 from emberline.llm.sketch_forest import similar_pairs
 from emberline.llm.terms import clean_terms, term_set
@@ -184,12 +184,14 @@ def p9_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal information in the documents: its kind and the code points before it."""
-    return find_items(read_table(spark, sf_dir, "documents"), ["doc_id"], "text").select("doc_id", "pii_type", "start_pos")
+    documents = read_table(spark, sf_dir, "documents")
+    return find_items(documents, ["doc_id"], "text", learn_parts(documents, "text")).select("doc_id", "pii_type", "start_pos")
 
 
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with typed placeholders for personal information."""
-    return redact(read_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    documents = read_table(spark, sf_dir, "documents")
+    return redact(documents, ["doc_id"], "text", learn_parts(documents, "text"))
 
 
 QUERIES = {
