@@ -10,7 +10,15 @@ RUSSIAN = (
     "Рынок призывает к спокойствию после дождя, и никто не говорит нам, почему. Вокзал наконец в безопасности сегодня утром. "
     "Школа просит о помощи прямо сейчас, мы всё ещё ждём ответа. Полиция осталась без света, телефоны не работают."
 )
-REPAIR = encoding_repair.Repair(RUSSIAN)
+
+
+def _sample_text():
+    import pandas as pd
+
+    return " ".join(sorted(pd.read_parquet("/root/testdata/sf0.001/lang_sample.parquet").text))
+
+
+REPAIR = encoding_repair.Repair(_sample_text())
 GOOD = [
     "L'école brûle encore, c'est déjà la même chose que l'été dernier",
     "Der Bürgermeister wird für Wochen nicht öffnen, überall liegen Glasscherben",
@@ -22,6 +30,12 @@ GOOD = [
     "ВОКЗАЛ ОСТАЛСЯ БЕЗ СВЕТА",
     "fire 🔥 ❤️ 👩‍🚒 👍🏽 – “ok” … €5",
     "plain ascii",
+    "Ω≈ç√∫ µm, a≈b, c√d ±5 µm, x² + y² ≤ z²",
+    "km² and 10€, Sr.ª María, ½ cup, 10°C – 20°C, iPhone™",
+    "wait…what, naïve café — “étude” d’été, Wort„Zitat“Ende",
+    "Ελλάδα σήμερα, 東京は晴れ, Łódź Žižkov, İstanbul’da",
+    "Београд је леп град, Київ зараз",
+    "В третий раз мэр призывает к спокойствию прямо сейчас. онлайн",
 ]
 
 
@@ -260,3 +274,37 @@ def test_round_trip_through_dos_encodings(text, encoding):
     table = {v: c for c, v in encoding_repair._bytes_of(encoding).items()}
     bad = "".join(chr(b) if b < 128 else table[b] for b in text.encode())
     assert REPAIR(bad) == (text, 1, True)
+
+
+OTHERS = ["日本の天気は今日も晴れです", "Ο δρόμος είναι κλειστός σήμερα", "الطريق مغلق اليوم", "הכביש סגור היום", "오늘 길이 막혔다", "सड़क आज बंद है"]
+
+
+def _misread(text, encoding):
+    table = {v: c for c, v in encoding_repair._bytes_of(encoding).items()}
+    return "".join(chr(b) if b < 128 else table[b] for b in text.encode())
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252", "mac_roman"])
+@pytest.mark.parametrize("text", OTHERS)
+def test_other_scripts(text, encoding):
+    assert REPAIR(_misread(text, encoding)) == (text, 1, True)
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("layers", [5, 6, 9])
+def test_any_number_of_layers(layers, encoding):
+    bad = GOOD[0]
+    for _ in range(layers):
+        bad = _misread(bad, encoding)
+    assert REPAIR(bad) == (GOOD[0], layers, True)
+
+
+def test_single_byte_below_other_layers():
+    text = "Школа просит о помощи прямо сейчас"
+    for meant in ("cp1251", "koi8-r"):
+        assert REPAIR(_misread(text.encode(meant).decode("latin-1"), "latin-1")) == (text, 2, True)
+
+
+@pytest.mark.parametrize(("read", "meant"), [("cp1252", "cp850"), ("cp1252", "cp437"), ("latin-1", "mac_roman"), ("cp850", "mac_roman"), ("mac_roman", "cp850")])
+def test_western_single_byte(read, meant):
+    assert REPAIR(GOOD[0].encode(meant).decode(read))[0] == GOOD[0]
