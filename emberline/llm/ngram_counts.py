@@ -13,7 +13,6 @@ term that holds a third of all rows is salted by the hash of its suffix, and the
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,47 +25,38 @@ NGRAM = "ngram array<string>, occurrences bigint, records bigint"
 
 
 def _suffixes(max_n: int):
-    """Counts of (suffix, fresh) in each batch of term lists."""
+    """Counts of (suffix, fresh) in each batch of term lists, over whole arrays of term codes."""
 
-    def unigrams(lists: pa.ListArray) -> tuple[list, list, list]:
+    def counted(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         words = lists.flatten().dictionary_encode()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        size = len(words.dictionary)
-        every = np.bincount(codes, minlength=size)
-        first = np.bincount(np.unique(row * size + codes) % size, minlength=size) if len(codes) else every
-        names = words.dictionary.to_pylist()
-        out: tuple[list, list, list] = ([], [], [])
-        for fresh, counts in ((1, first), (2, every - first)):
-            for i in np.flatnonzero(counts).tolist():
-                out[0].append([names[i]])
-                out[1].append(fresh)
-                out[2].append(int(counts[i]))
-        return out
-
-    def ngrams(lists: pa.ListArray) -> tuple[list, list, list]:
-        counts: Counter = Counter()
-        for terms in lists.to_pylist():
-            seen: set = set()
-            for i in range(len(terms)):
-                suffix = tuple(terms[i : i + max_n])
-                fresh = max_n + 1
-                for k in range(len(suffix), 0, -1):
-                    if suffix[:k] in seen:
-                        break
-                    fresh = k
-                    seen.add(suffix[:k])
-                counts[suffix, fresh] += 1
-        return [list(s) for s, _ in counts], [f for _, f in counts], list(counts.values())
+        size, kinds = len(code), len(words.dictionary)
+        suffix = np.full((max_n, size), kinds, np.int64)  # the term k places on, or none
+        for k in range(min(max_n, size)):
+            same = row[k:] == row[: size - k]
+            suffix[k, : size - k][same] = code[k:][same]
+        # A prefix of k terms gets a number; it was seen before if its record has that number earlier.
+        number, seen = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        length = (suffix < kinds).sum(axis=0)
+        for k in range(max_n):
+            number = np.unique(number * (kinds + 1) + suffix[k], return_inverse=True)[1]
+            first = np.unique(row * size + number, return_index=True)[1]
+            again = np.ones(size, bool)
+            again[first] = False
+            seen += again & (length > k)
+        fresh = np.where(seen == length, max_n + 1, seen + 1)
+        _, at, n = np.unique(number * (max_n + 2) + fresh, return_index=True, return_counts=True)
+        own = suffix[:, at].T
+        lists_ = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length[at])]).astype(np.int32), words.dictionary.take(pa.array(own[own < kinds])))
+        return lists_, fresh[at], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
             lists = pa.ListArray.from_arrays(_compact_offsets(column), column.flatten())
-            suffixes, fresh, n = (unigrams if max_n == 1 else ngrams)(lists)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(suffixes, pa.list_(pa.string())), pa.array(fresh, pa.int32()), pa.array(n, pa.int64())], ["suffix", "fresh", "n"]
-            )
+            suffixes, fresh, n = counted(lists)
+            yield pa.RecordBatch.from_arrays([suffixes, pa.array(fresh.astype(np.int32)), pa.array(n.astype(np.int64))], ["suffix", "fresh", "n"])
 
     return run
 
@@ -136,10 +126,10 @@ def ngram_counts(records: DataFrame, terms: str, max_n: int = 1, salts: int = 1)
         raise ValueError("max_n must be at least 1")
     lists = records.select(F.filter(F.col(terms), lambda t: t.isNotNull()).alias("terms")).where(F.size("terms") > 0)
     suffixes = lists.mapInArrow(_suffixes(max_n), SUFFIX).groupBy("suffix", "fresh").agg(F.sum("n").alias("n"))
-    salt = F.pmod(F.hash("suffix"), F.lit(salts)) if max_n > 1 and salts > 1 else F.lit(0)
+    salt = F.pmod(F.hash("suffix"), F.lit(salts))
     routed = suffixes.repartition(F.col("suffix")[0], salt).sortWithinPartitions(F.col("suffix").desc())
     grams = routed.mapInArrow(_stack, NGRAM)
-    if max_n > 1 and salts > 1:
+    if salts > 1:
         grams = grams.groupBy("ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     return grams
 

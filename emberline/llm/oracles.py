@@ -58,6 +58,11 @@ ORACLES = {
     "p1_found": _P1,
     "p2_counts": _P2,
     "p2_found": f"SELECT term, mark FROM ({_P2}) WHERE mark IS NOT NULL",
+    "p2_ngrams": f"""
+        WITH {_TWEETS},
+        placed AS (SELECT id, words, unnest(range(1, len(words) + 1)) AS k FROM words),
+        runs AS (SELECT id, words[k:k + n - 1] AS gram, n FROM placed CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) WHERE k + n - 1 <= len(words))
+        SELECT array_to_string(gram, ' ') AS ngram, n::INTEGER AS n, count(*) AS occurrences, count(DISTINCT id) AS tweets FROM runs GROUP BY gram, n""",
     "p3_found": """
         SELECT ts, line_no FROM (
           SELECT ts, line_no, id, row_number() OVER (PARTITION BY id ORDER BY ts, line_no) AS nth FROM tweet WHERE id IS NOT NULL)

@@ -24,6 +24,8 @@ from emberline.sources import read_table
 
 #: A pair is a case from so many tweets, and so many times more often than by chance.
 PAIR_TWEETS, PAIR_LIFT = 8, 4
+#: Tasks that share the suffixes of one first term.
+FIRST_TERM_TASKS = 8
 #: Largest distance at which two buckets count as tied.
 TIED_DIST = 0.75
 
@@ -74,6 +76,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_counts(spark, sf_dir).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of one to three neighbouring terms of the tweets' keywords: how often it occurs, and how many tweets hold it."""
+    tweets, _ = _tweets(spark, sf_dir, ["keywords"])
+    counts = ngram_counts(tweets.select(clean_terms(F.col("keywords")).alias("terms")), "terms", 3, FIRST_TERM_TASKS)
+    return counts.select(F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n"), "occurrences", F.col("records").alias("tweets"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tweet rows whose id was in ``seen_id`` or in an earlier row; exact."""
     tweets, seen = read_table(spark, sf_dir, "tweet"), read_table(spark, sf_dir, "seen_id")
@@ -199,6 +208,7 @@ QUERIES = {
     "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p2_ngrams": p2_ngrams,
     "p3_found": p3_found,
     "p3_errors": p3_errors,
     "p4_found": p4_found,
