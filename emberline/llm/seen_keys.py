@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberline.session import cut
+
 BLOCK_BITS = 512
+#: Keys of a shard: its filter stays in a core's cache, and there are shards for every core.
+KEYS_A_SHARD = 50_000
 #: Known absent keys that each shard asks its filter for when errors are measured.
 PROBES = 20_000
 
@@ -90,9 +94,16 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shard(names: list[str], blocks: int, bits: int, with_errors: bool, absent: tuple[int, int]):
+    """Asks and fills the filters of sorted shards, one at a time; gives the flagged rows, or each filter's errors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, BlockedBloom] = {}
-        filled: dict[int, int] = {}
+        number, bloom, filled, done = None, None, 0, []
+
+        def close() -> None:
+            if number is not None and with_errors:
+                probes = np.random.default_rng(number).integers(*absent, PROBES, dtype=np.int64)
+                done.append((number, filled, bloom.blocks * BLOCK_BITS, PROBES, int(bloom.query(probes).sum())))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -102,26 +113,22 @@ def _shard(names: list[str], blocks: int, bits: int, with_errors: bool, absent:
             seen = known.copy()
             cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
             for i, j in zip(cuts, cuts[1:]):
-                if shard[i] not in filters and not with_errors:
-                    filters.clear()  # shards come one after the other
-                bloom = filters.setdefault(int(shard[i]), BlockedBloom(blocks, bits))
+                if shard[i] != number:
+                    close()
+                    number, bloom, filled = int(shard[i]), BlockedBloom(blocks, bits), 0
                 at = i + np.flatnonzero(~known[i:j])
                 own, first = np.unique(key[at], return_index=True)
                 again = np.ones(len(at), bool)
                 again[first] = bloom.query(own)
                 seen[at] = again
                 bloom.insert(own[~again[first]])
-                filled[int(shard[i])] = filled.get(int(shard[i]), 0) + int((~again).sum())
+                filled += int((~again).sum())
             if not with_errors:
                 keep = seen & (batch.column("_era").to_numpy(zero_copy_only=False) > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep)) for n in names], names)
+        close()
         if with_errors:
-            out = []
-            for number, bloom in filters.items():
-                rng = np.random.default_rng(number)
-                probes = rng.integers(*absent, PROBES, dtype=np.int64)
-                out.append((number, filled[number], bloom.blocks * BLOCK_BITS, PROBES, int(bloom.query(probes).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], ["shard", "keys", "bits", "absent", "false_positives"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64()) for k in range(5)], ["shard", "keys", "bits", "absent", "false_positives"])
 
     return run
 
@@ -144,7 +151,7 @@ def _sharded(rows: DataFrame, key: str, order: list[str], earlier: DataFrame | N
 
 
 def seen_before(
-    rows: DataFrame, key: str, order: list[str], earlier: DataFrame | None = None, target: float = 1e-4, exact: bool = True, per_shard: int = 2_000_000
+    rows: DataFrame, key: str, order: list[str], earlier: DataFrame | None = None, target: float = 1e-4, exact: bool = True, per_shard: int = KEYS_A_SHARD
 ) -> DataFrame:
     """``order`` columns and ``key`` of the rows whose key was in ``earlier`` or in an earlier row by ``order``.
 
@@ -162,7 +169,7 @@ def seen_before(
     # A first arrival that the filter flagged, although no earlier table has the key, is a false positive. Of rows that
     # agree in order and key one is new, so not all of them can be repeats.
     place = [F.col(c).cast("bigint").alias(c) for c in order]
-    counted = flagged.groupBy(key, *order).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("repeat"), 1)).alias("_asked"))
+    counted = cut(flagged.groupBy(key, *order).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("repeat"), 1)).alias("_asked")))
     asked = counted.where("_asked > 0")
     keys = asked.select(key).distinct()
     arrivals = rows.select(key, *order).join(keys, key, "left_semi").groupBy(key, *place).agg(F.count(F.lit(1)).alias("_all"))
@@ -178,7 +185,7 @@ def seen_before(
     return result.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*order, key)
 
 
-def seen_errors(rows: DataFrame, key: str, order: list[str], earlier: DataFrame | None = None, target: float = 1e-4, per_shard: int = 2_000_000) -> DataFrame:
+def seen_errors(rows: DataFrame, key: str, order: list[str], earlier: DataFrame | None = None, target: float = 1e-4, per_shard: int = KEYS_A_SHARD) -> DataFrame:
     """Per shard the ``keys`` inserted, its ``bits``, the ``absent`` keys asked for, and how many were ``false_positives``.
 
     Keys that the filter took for seen are not inserted again.
