@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.session import BROADCAST_ROWS, cut
@@ -30,11 +30,10 @@ def first_rows(df: DataFrame, key: str, order: list[str], columns: list[str], li
     keys, extra, tie = counted[0], counted[1] or 0, counted[2] or 1
     if not keys:
         return rows.select(key, *columns), total
-    if tie > 1:
-        one = Window.partitionBy(key).orderBy(*order)
-        first = rows.withColumn("_rn", F.row_number().over(one)).where("_rn = 1")
-    else:
-        side = repeats.select(F.col(key).alias("_key"), F.struct(*[F.col(f"_first.{c}").alias(c) for c in order]).alias("_at"))
-        side = F.broadcast(side) if keys <= limit else side
-        first = rows.join(side, F.col(key) == F.col("_key"), "left").where(F.col("_at").isNull() | (F.col("_at") == place))
+    side = repeats.select(F.col(key).alias("_key"), F.struct(*[F.col(f"_first.{c}").alias(c) for c in order]).alias("_at"), (F.col("_first._n") > 1).alias("_tie"))
+    side = F.broadcast(side) if keys <= limit else side
+    first = rows.join(side, F.col(key) == F.col("_key"), "left").where(F.col("_at").isNull() | (F.col("_at") == place))
+    if tie > 1:  # only the rows delivered twice are moved
+        tied = F.coalesce("_tie", F.lit(False))
+        first = first.where(~tied).unionByName(first.where(tied).dropDuplicates([key]))
     return first.select(key, *columns), total - extra + keys

@@ -101,7 +101,7 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tweets, total = _tweets(spark, sf_dir, ["keywords", "kwpairs"])
     terms = ngram_counts(tweets.select(clean_terms(F.col("keywords")).alias("terms")), "terms")
     terms = cut(terms.select(F.col("ngram")[0].alias("term"), F.col("records").alias("n")))
-    pairs = with_term_counts(pair_counts(tweets, "kwpairs", total, PAIR_TWEETS), terms)
+    pairs = with_term_counts(pair_counts(tweets, "kwpairs", total, PAIR_TWEETS, vocabulary=terms), terms)
     n, n_a, n_b = F.col("n"), F.col("n_a"), F.col("n_b")
     scored = pairs.withColumn("lift", lift(n, n_a, n_b, total)).withColumn("odds_ratio", odds_ratio(n, n_a, n_b, total))
     exceeds = n * total >= n_a * n_b * PAIR_LIFT

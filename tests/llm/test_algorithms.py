@@ -106,7 +106,7 @@ def test_filter_keeps_its_rate(spark):
     assert bloom.query(keys).all()
     assert bloom.query(rng.integers(-(2**62), 0, 200_000)).mean() < 1.3e-3
     df = spark.range(100, 60_100).select(F.col("id"), F.col("id").alias("ts"), F.lit(0).alias("line_no"))
-    (row,) = seen_errors(df, "id", ["ts", "line_no"], target=1e-2).collect()
+    (row,) = seen_errors(df, "id", ["ts", "line_no"], target=1e-2, per_shard=100_000).collect()
     assert 0.99 * 60_000 <= row["keys"] <= 60_000
     assert row.false_positives / row.absent < 1.5e-2
 
@@ -123,13 +123,29 @@ def _pairs_by_hand(records):
 @pytest.mark.parametrize(("bits", "sent"), [(32, 100), (3, 100_000), (3, 0)])
 def test_pair_counts(spark, bits, sent, monkeypatch):
     monkeypatch.setattr(cooccurrence, "SENT_CODES", sent)
+    monkeypatch.setattr(cooccurrence, "SENT_WORDS", sent)
     rng = random.Random(bits)
     words = ["a", "B", " b", "c", "d", "", None, "eé", "f"]
     records = [[(rng.choice(words), rng.choice(words)) for _ in range(rng.randrange(0, 12))] for _ in range(150)] + [None, [], [None, ("a", "c"), ("c", "A ")]]
     df = spark.createDataFrame([(r,) for r in records], "p array<struct<a:string,b:string>>").repartition(3)
     for least in (1, 20):
-        got = {(r.term_a, r.term_b): r.n for r in cooccurrence.pair_counts(df, "p", 150, least, bits).collect()}
-        assert got == {k: n for k, n in _pairs_by_hand(records).items() if n >= least}
+        for vocabulary in (None, ["a", "b", "c", "d"], ["a", "b", "c", "d", "eé", "f", "never"]):
+            terms = vocabulary and spark.createDataFrame([(w,) for w in vocabulary], "term string")
+            got = {(r.term_a, r.term_b): r.n for r in cooccurrence.pair_counts(df, "p", 150, least, bits, terms).collect()}
+            assert got == {k: n for k, n in _pairs_by_hand(records).items() if n >= least}
+
+
+def test_runs_are_merged_in_order():
+    rng = np.random.default_rng(1)
+    runs, want = cooccurrence.Runs(), Counter()
+    for k in range(40):
+        code = np.unique(rng.integers(0, 5000, 50 * (k % 7))).astype(np.uint64)
+        n = rng.integers(1, 9, len(code))
+        want.update(dict(zip(code.tolist(), n.tolist())))
+        runs.add(code, n)
+    code, n = runs.merged()
+    assert code.tolist() == sorted(want)
+    assert dict(zip(code.tolist(), n.tolist())) == dict(want)
 
 
 def test_pair_scores(spark):
