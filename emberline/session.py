@@ -8,9 +8,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of them as estimated from their types, of a side that may be broadcast after they were counted; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def local_session(cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,10 +30,12 @@ def local_session(cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSes
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) a local one is made."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only in local mode, where it is unset, a folder is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
 
 
@@ -42,9 +45,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` written like ``cut``, partitioned and sorted by ``keys``, which later joins and groups on them make use of.
+
+    The partitioning of a checkpoint is only kept if its plan isn't changed while it runs, so that is switched off for
+    this one job.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(*keys).sortWithinPartitions(*keys))
+    finally:
+        conf.set(name, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table from ``cut``, or of columns of one, that nothing needs any more."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    if leaves.size() != 1 or leaves.head().getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = leaves.head().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_bytes(df: DataFrame, text: int = 40, items: int = 30) -> int:
+    """Bytes of a row as its types let one expect: texts of ``text`` bytes, arrays of ``items`` elements."""
+
+    def of(kind: T.DataType) -> int:
+        if isinstance(kind, T.StructType):
+            return 16 + sum(of(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return 24 + items * of(kind.elementType)
+        if isinstance(kind, T.MapType):
+            return 24 + items * (of(kind.keyType) + of(kind.valueType))
+        return text if isinstance(kind, (T.StringType, T.BinaryType)) else 16
+
+    return of(df.schema)
+
+
+def fits_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> bool:
+    return rows <= limit and rows * row_bytes(df) <= BROADCAST_BYTES
+
+
 def small_or_not(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows (``rows``, if they were counted before), else unchanged."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    """``df`` marked for broadcast if its rows (``rows``, if they were counted before) and their estimated bytes are few, else unchanged."""
+    return F.broadcast(df) if fits_broadcast(df, df.count() if rows is None else rows, limit) else df
 
 
 def ship_package(spark: SparkSession) -> None:
