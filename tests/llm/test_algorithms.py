@@ -157,8 +157,8 @@ def test_pair_scores(spark):
     assert rows[1][0] is None
 
 
-@pytest.mark.parametrize("frontiers", [2, 40])
-def test_connected_components(spark, frontiers):
+@pytest.mark.parametrize(("thin", "place_edges"), [(0.0, 100_000), (0.1, 7), (2.0, 30)])
+def test_connected_components(spark, thin, place_edges):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)]
     edges += [(5, 5), (None, 3), edges[0]]
@@ -177,7 +177,7 @@ def test_connected_components(spark, frontiers):
                         want[y] = s
                         todo.append(y)
     df = spark.createDataFrame(edges, "a bigint, b bigint").withColumn("vertex", F.lit(0))
-    got = {r.vertex: r.component for r in connected_components(df, frontiers=frontiers).collect()}
+    got = {r.vertex: r.component for r in connected_components(df, thin=thin, place_edges=place_edges).collect()}
     assert got == want
     assert connected_components(df.limit(0)).count() == 0
 
