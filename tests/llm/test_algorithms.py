@@ -204,7 +204,7 @@ def test_similar_pairs(spark, block):
     sets += [(1000 + k, base[0]) for k in range(40)] + [(2000, []), (2001, None), (2002, [None]), (None, ["t1"]), (3, sets[3][1])]
     df = spark.createDataFrame(sets, "k bigint, s array<string>").withColumn("rep", F.lit(1)).repartition(3)
     for threshold in (Fraction(4, 5), Fraction(3, 5)):
-        got, groups = sketch_forest.similar_pairs(df, "k", "s", threshold, 24, 0.9999, block)
+        got, groups = sketch_forest.similar_pairs(df, "k", "s", threshold, 24, 0.9999, block=block)
         assert {tuple(r) for r in got.collect()} == _similar_by_hand(sets, threshold)
     links, groups = sketch_forest.similar_pairs(df, "k", "s", Fraction(4, 5), 24, 0.9999, block, copies=False)
     rep = {r.key: r.rep for r in groups.collect()}
@@ -219,6 +219,28 @@ def test_depth_meets_the_recall():
         assert 1 - (1 - float(threshold) ** depth) ** trees >= 0.9999 > 1 - (1 - float(threshold) ** (depth + 1)) ** trees
 
 
+def test_missed_share():
+    rng = np.random.default_rng(0)
+    for q, trees in ((0.3, 6), (0.41, 12)):
+        met = rng.binomial(trees, q, 400_000)
+        found = met[met > 0]
+        assert sketch_forest.missed_share([(len(found), int(found.sum()))], trees) == pytest.approx((met == 0).mean(), rel=0.1)
+    assert sketch_forest.missed_share([], 12) == 0.0
+    assert sketch_forest.missed_share([(10, 120)], 12) == 0.0
+
+
+def test_trees_are_added_until_the_recall_is_met(spark):
+    rng = random.Random(5)
+    sets = []
+    for k in range(150):
+        own = rng.sample(range(100_000), 9)
+        sets += [(2 * k, own), (2 * k + 1, own[:8] + [rng.randrange(100_000, 200_000)])]  # exactly 0.8
+    classes = spark.createDataFrame(sets, "rep bigint, items array<bigint>")
+    links, rounds = sketch_forest.class_links(classes, Fraction(4, 5), 5, 0.999)
+    assert len(rounds) > 1 and rounds[-1][1] >= 0.999 > rounds[0][1]
+    assert {tuple(r) for r in links.collect()} == {(2 * k, 2 * k + 1) for k in range(150)}
+
+
 def test_best_fit_places_in_the_fullest_that_takes_it():
     packer = BestFit(10, 2)
     assert [packer.place(n) for n in (6, 7, 3, 4, 9, 0)] == [0, 1, 1, 0, 2, 1]
