@@ -308,3 +308,32 @@ def test_single_byte_below_other_layers():
 @pytest.mark.parametrize(("read", "meant"), [("cp1252", "cp850"), ("cp1252", "cp437"), ("latin-1", "mac_roman"), ("cp850", "mac_roman"), ("mac_roman", "cp850")])
 def test_western_single_byte(read, meant):
     assert REPAIR(GOOD[0].encode(meant).decode(read))[0] == GOOD[0]
+
+
+MIXED = [
+    ("The bridge is closed since yesterday and nobody tells us why los pescadores esperan a los equipos de rescate esta tarde", {"en", "es"}),
+    ("According to witnesses the market was evacuated mais la route est toujours fermée depuis hier soir", {"en", "fr"}),
+    ("Der Markt ist geschlossen aber the police asked everyone to leave the main square now", {"de", "en"}),
+    ("At noon the tunnel remains quiet � Les pompiers demandent des réponses pendant la nuit", {"en", "fr"}),
+    ("He said c'est la vie and left the market with a smile", {"en"}),
+]
+
+
+def test_languages_without_punctuation_between_and_any_partitioning(spark):
+    samples = spark.read.parquet("/root/testdata/sf0.001/lang_sample.parquet")
+    more = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = spark.createDataFrame(list(enumerate(x for x, _ in MIXED)), "id bigint, text string")
+    results = []
+    for parts in (1, 7):
+        models = language_models.fit(samples.repartition(parts), more.repartition(parts), most_each=5)
+        rows = language_models.languages(df, ["id"], "text", models, RUSSIAN).collect()
+        results.append(sorted(map(tuple, rows)))
+        assert [{r.found for r in rows if r.id == k} for k in range(len(MIXED))] == [langs for _, langs in MIXED]
+    assert results[0] == results[1]
+
+
+def test_bounds_are_calibrated():
+    bounds = language_models.calibrated(_samples())
+    assert 1.5 < bounds.likely < bounds.noise < 4.5
+    assert bounds.least >= 2 and bounds.gain > 10
+    assert language_models.calibrated({"en": ["one two three"]}) == language_models.Bounds()
