@@ -10,36 +10,38 @@ from emberline.functions import text as T
 from emberline.functions.measures import information_gain
 from emberline.operators.buckets import popular_counts
 from emberline.operators.prepare import hours
+from emberline.operators.windows import in_windows, spans
 from emberline.session import cut, small_or_not
 
 
-def _windows(rows: DataFrame, length: int, last: int, *columns: str) -> DataFrame:
-    """Each row once for every window that holds its file: ``now`` in the window itself, else in the one before."""
-    offsets = F.explode(F.sequence(F.greatest(F.col("ord"), F.lit(2 * length)), F.least(F.col("ord") + 2 * length - 1, F.lit(last))))
-    inside = rows.where((F.col("ord") <= last) & (F.col("ord") + 2 * length - 1 >= 2 * length))
-    return inside.where(F.lit(last >= 2 * length)).select(offsets.alias("w"), "ord", *columns).withColumn("now", F.col("w") - F.col("ord") < length)
-
-
-def window_counts(posts: DataFrame, files: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def window_counts(posts: DataFrame, files: DataFrame, config: EngineConfig = DEFAULT, popular: DataFrame | None = None) -> DataFrame:
     """``w, kwp, a, b, c, d`` of the pairs popular in window w: posts with the pair before and now, other posts before and now.
 
-    ``posts`` are prepared posts, ``files`` any rows with ``ts`` of all source files (hours without posts count too).
-    Counts of a pair add up the hours; the totals are distinct ids of popular buckets; differences below 0 count as 0.
+    ``posts`` are prepared posts, ``files`` any rows with ``ts`` of all source files (hours without posts count too);
+    ``popular`` has their popular pairs, if they are known. Counts of a pair add up the hours; the totals are distinct
+    ids of popular buckets; differences below 0 count as 0.
     """
     length = config.window_hours
-    ts_dim = F.broadcast(hours(files))  # one row a file
-    last = hours(files).agg(F.max("ord")).first()[0] or 0
-    counts = cut(popular_counts(posts, config.hourly_floor))
-    pairs = _windows(counts.join(ts_dim, "ts"), length, last, "kwp", "n")
-    sums = pairs.groupBy("w", "kwp").agg(
-        F.coalesce(F.sum(F.when(~F.col("now"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("now"), F.col("n"))), F.lit(0)).alias("b")
-    ).where(F.col("b") >= config.window_floor)
+    dim = cut(hours(files))
+    ts_dim = F.broadcast(dim)  # one row a file
+    last = dim.agg(F.max("ord")).first()[0] or 0
+    counts = popular if popular is not None else cut(popular_counts(posts, config.hourly_floor))
+    # A pair's count enters a window, goes over to the window before, and leaves it.
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    steps = F.array(
+        F.struct(F.col("ord").alias("w"), none.alias("a"), n.alias("b")),
+        F.struct((F.col("ord") + length).alias("w"), n.alias("a"), (-n).alias("b")),
+        F.struct((F.col("ord") + 2 * length).alias("w"), (-n).alias("a"), none.alias("b")),
+    )
+    steps = counts.join(ts_dim, "ts").repartition("kwp").select("kwp", F.explode(steps).alias("s")).select("kwp", "s.*")
+    sums = in_windows(steps, ["kwp"], ["a", "b"], last, 2 * length, F.col("b") >= config.window_floor)
     kept = posts.select("ts", "id", F.explode("kwpairs").alias("p")).select("ts", "id", T.pair_key(F.col("p.a"), F.col("p.b")).alias("kwp"))
-    ids = kept.join(small_or_not(counts.select("ts", "kwp")), ["ts", "kwp"], "left_semi").select("ts", "id").distinct().join(ts_dim, "ts")
-    total = _windows(ids, length, last, "id").groupBy("w").agg(
-        F.count_distinct(F.when(~F.col("now"), F.col("id"))).alias("before"), F.count_distinct(F.when(F.col("now"), F.col("id"))).alias("current")
-    )
-    joined = sums.join(F.broadcast(total), "w")  # one row a window
+    ids = kept.join(small_or_not(counts.select("ts", "kwp")), ["ts", "kwp"], "left_semi").join(ts_dim, "ts")
+    places = ids.groupBy("id").agg(F.array_sort(F.collect_set("ord")).alias("o")).select(F.explode(spans(F.col("o"), length)).alias("s"))
+    ends = places.select(F.explode(F.array(F.struct(F.col("s.begin").alias("w"), F.lit(1).alias("now")), F.struct(F.col("s.end").alias("w"), F.lit(-1).alias("now")))).alias("e"))
+    now = cut(in_windows(ends.select("e.*").groupBy("w").agg(F.sum("now").alias("now")), [], ["now"], last))  # one row a file
+    total = now.withColumnRenamed("now", "current").join(now.select((F.col("w") + length).alias("w"), F.col("now").alias("before")), "w", "left")
+    joined = sums.join(F.broadcast(total), "w", "left").fillna(0, ["before", "current"])
     return joined.select(
         "w", "kwp", "a", "b", F.greatest(F.col("before") - F.col("a"), F.lit(0)).alias("c"), F.greatest(F.col("current") - F.col("b"), F.lit(0)).alias("d")
     )
@@ -84,13 +86,16 @@ def bursts_carried(counts: DataFrame, config: EngineConfig = DEFAULT) -> DataFra
     return kept.select("r.w", "kwp", "r.ig", "r.a", "r.b", "r.c", "r.d", "r.inherited")
 
 
-def bucket_members(found: DataFrame, posts: DataFrame, files: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def bucket_members(found: DataFrame, posts: DataFrame, files: DataFrame, config: EngineConfig = DEFAULT, popular: DataFrame | None = None) -> DataFrame:
     """``w, kwp, ts, id, keywords, text``: the posts of each found pair in its window, from hours in which the pair is popular."""
     length = config.window_hours
-    ts_dim = F.broadcast(hours(files))  # one row a file
+    dim = hours(files)
+    counts = popular if popular is not None else popular_counts(posts, config.hourly_floor)
+    # The hours of each found pair with their windows, so that posts are met once, with the few columns that tell them apart.
+    inside = (F.col("ord") <= F.col("w")) & (F.col("ord") > F.col("w") - length)
+    wanted = counts.select("ts", "kwp").join(F.broadcast(dim), "ts").join(found.select("w", "kwp"), "kwp").where(inside)  # one row a file
+    wanted = cut(wanted.groupBy("ts", "kwp").agg(F.collect_list("w").alias("_w")))
     own = ["ts", "id", "keywords", "text"]
     pairs = posts.select(*own, F.explode("kwpairs").alias("p")).select(*own, T.pair_key(F.col("p.a"), F.col("p.b")).alias("kwp"))
-    popular = popular_counts(posts, config.hourly_floor).select("ts", "kwp").join(found.select("kwp").distinct(), "kwp", "left_semi")
-    rows = pairs.join(small_or_not(cut(popular)), ["ts", "kwp"], "left_semi").join(ts_dim, "ts")
-    inside = (F.col("ord") <= F.col("w")) & (F.col("ord") > F.col("w") - length)
-    return rows.join(found.select("w", "kwp"), "kwp").where(inside).select("w", "kwp", "ts", "id", "keywords", "text")
+    rows = pairs.join(small_or_not(wanted), ["ts", "kwp"])
+    return rows.select(F.explode("_w").alias("w"), "kwp", *own)

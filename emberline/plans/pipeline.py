@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from emberline.config import DEFAULT, EngineConfig
 from emberline.functions import text as T
 from emberline.operators import cluster, detect, prepare, stats, track
+from emberline.operators.buckets import popular_counts
 from emberline.session import cut
 
 
 def detected(posts: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """The found pairs of every window and the posts of each."""
     ready = prepare.prepared(posts, config, written=True)
-    found = cut(detect.bursts_carried(detect.window_counts(ready, posts, config), config))
-    return found, detect.bucket_members(found, ready, posts, config)
+    popular = cut(popular_counts(ready, config.hourly_floor))
+    found = cut(detect.bursts_carried(detect.window_counts(ready, posts, config, popular), config))
+    return found, detect.bucket_members(found, ready, posts, config, popular)
 
 
 def consolidated_members(found: DataFrame, rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
