@@ -41,7 +41,7 @@ class EngineConfig:
     consolidate_distance: float = 0.75
     absorb_tweet: float = 0.7
     absorb_bucket: float = 0.5
-    absorb_largest: int = 100
+    absorb_largest: int | None = 100
     cut_weight: float | None = 0.15
     huge_from: int = 30
     huge_to: int | None = 200

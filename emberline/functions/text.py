@@ -14,7 +14,7 @@ PUNCTUATION = "!~\"#$%&()*+,-./:;<=>?@[\\]_'`{|}\n‘’"
 #: Characters that separate words of a post; @ and _ don't (fixed values).
 SEPARATORS = (
     " ,.#?:;'\"/<>`!$%^&*()-=+~[]\\|{}\n\t"
-    "©℗®℠™،、⟨⟩‒–—―…„“”»«›‹‘’：（）！？=【】　・⁄·†‡°″¡¿÷№ºª‰¶′‴§‖¦⁂❧☞‽⸮◊※⁀「」﹁﹂『』﹃﹄《》，一。►⋘▕▔▏┈⋙ー।؛؟"
+    "©℗®℠™،、⟨⟩‒–—―…„“”»«›‹‘’：（）！？=【】　・⁄·†‡°″¡¿÷№ºª‰¶′‴§‖¦⁂❧☞‽⸮◊※⁀「」﹁﹂『』﹃﹄《》，一。►⋘▕▔▏┈⋙ー।؟"
 )
 
 

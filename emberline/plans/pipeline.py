@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, EngineConfig
 from emberline.functions import text as T
-from emberline.operators import cluster, detect, prepare, stats, track
+from emberline.operators import cluster, detect, fusion, prepare, report, stats, track
 from emberline.operators.buckets import popular_counts
 from emberline.session import cut
 
@@ -20,26 +20,63 @@ def detected(posts: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFram
     return found, detect.bucket_members(found, ready, posts, config, popular)
 
 
-def consolidated_members(found: DataFrame, rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def consolidated_members(found: DataFrame, rows: DataFrame, config: EngineConfig = DEFAULT, clusters: DataFrame | None = None) -> DataFrame:
     """``w, bucket, root, id, text``: the posts of each consolidated bucket once; buckets are numbered by a hash of window and name."""
-    clusters = cluster.consolidated(found, rows, config).withColumn("bucket", F.xxhash64("w", "root"))
+    clusters = (clusters if clusters is not None else cluster.consolidated(found, rows, config)).withColumn("bucket", F.xxhash64("w", "root"))
     return rows.join(clusters, ["w", "kwp"]).groupBy("w", "bucket", "root", "id").agg(F.min("text").alias("text"))
 
 
-def events(posts: DataFrame, config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
-    """Every stage's result: ``found``, ``absorbed``, ``parts``, ``pure``, ``tracked`` and ``summary``."""
+def events(posts: DataFrame, config: EngineConfig = DEFAULT, pictures: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every stage's result: ``found``, ``absorbed``, ``parts``, ``pure``, ``general``, ``reports``, ``tracked`` and ``summary``.
+
+    ``pictures`` has the buckets of a second source in the general form (``w, bucket, signature, t_bucket, i_bucket,
+    twitter, instagram``); with it ``fused`` and ``fused_reports`` are there too, and the fused buckets are followed.
+    """
     found, rows = detected(posts, config)
-    own = cut(consolidated_members(found, rows, config))
+    rows = cut(rows)
+    clusters = cut(cluster.consolidated(found, rows, config))
+    own = cut(consolidated_members(found, rows, config, clusters))
     merge = T.preset(F.col("text"), "merge", config)
-    absorbed = cluster.absorbed(own.select("w", "bucket", "id", merge.alias("tokens")), config)
+    absorbed, names = cluster.absorbing(own.select("w", "bucket", "id", merge.alias("tokens")), config)
+    signs = cluster.merged_buckets(clusters).select("w", F.xxhash64("w", "root").alias("origin"), "signature")
+    signs = cut(cluster.absorbed_signatures(names, signs))
     texts = own.select("w", "id", "text").dropDuplicates(["w", "id"])
     named = cut(absorbed.select("w", "bucket", "id").join(texts, ["w", "id"]))
-    parts = cluster.partitioned(named.select("w", "bucket", "id", T.preset(F.col("text"), "partition", config).alias("tokens")), config)
-    cut_up = cut(named.join(parts, ["bucket", "id"]).withColumn("bucket", F.xxhash64("bucket", "part")))
+    tokens = named.select("w", "bucket", "id", T.preset(F.col("text"), "partition", config).alias("tokens"))
+    parts = cluster.partitioned(tokens.join(signs, ["w", "bucket"]), config)
+    cut_up = cut(named.join(parts, ["bucket", "id"]).withColumn("origin", F.col("bucket")).withColumn("bucket", F.xxhash64("bucket", "part")))
     pure = stats.purified(cut_up.select("bucket", T.preset(F.col("text"), "purify", config).alias("tokens")), config)
-    kept = cut(cut_up.join(pure.select("bucket"), "bucket", "left_semi"))
-    members = cut(kept.select(F.col("w").cast("int").alias("w"), "bucket", "id", merge.alias("tokens")))
-    order = Window.partitionBy("w").orderBy("_first", "bucket")
-    heads = members.groupBy("w", "bucket").agg(F.min("id").alias("_first")).select("w", "bucket", F.row_number().over(order).alias("pos"))
-    tracked = cut(track.events(track.parents(heads, members, config)))
-    return {"found": found, "absorbed": absorbed, "parts": parts, "pure": pure, "tracked": tracked, "summary": track.summary(tracked, members)}
+    kept = cut(cut_up.join(pure.select("bucket"), "bucket", "left_semi").withColumn("w", F.col("w").cast("int")))
+    parents = kept.select("w", "bucket", "origin", "part").distinct().join(signs.select(F.col("bucket").alias("origin"), "signature"), "origin")
+    parents = parents.withColumn("signature", F.when(F.col("part") < 0, F.col("signature")).otherwise(F.concat_ws("___", "signature", "part")))  # a part of a bucket
+    general = cut(report.general_buckets(kept.select("w", "bucket", "id", "text"), parents.select("w", "bucket", "signature")))
+    out = {"found": found, "absorbed": absorbed, "parts": parts, "pure": pure, "general": general, "reports": _reports(general)}
+    followed = general
+    if pictures is not None:
+        out["fused"] = followed = cut(fuse(general, pictures, config))
+        out["fused_reports"] = _reports(followed)
+    members = cut(_posts(followed).select("w", "bucket", "id", merge.alias("tokens")))
+    tracked = cut(track.events(track.parents(followed.select("w", "bucket", "pos"), members, config)))
+    return {**out, "tracked": tracked, "summary": track.summary(tracked, members)}
+
+
+def _posts(buckets: DataFrame) -> DataFrame:
+    return buckets.select("w", "bucket", F.explode("twitter").alias("t")).select("w", "bucket", "t.id", "t.text").where("id IS NOT NULL")
+
+
+def _reports(buckets: DataFrame) -> DataFrame:
+    return report.reports(buckets.select(F.col("w").alias("ts"), F.col("bucket").alias("bucket_id"), "pos", "signature", "t_bucket", "i_bucket", "twitter", "instagram"))
+
+
+def fuse(general: DataFrame, pictures: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """The buckets of both sources, those that match made one; in the general form, with positions by signature and bucket."""
+    columns = ["w", "bucket", "signature", "t_bucket", "i_bucket", "twitter", "instagram"]
+    both = cut(general.select(*columns).unionByName(pictures.select(*columns)))
+    posts = cut(_posts(both).groupBy("w", "bucket", "id").agg(F.min("text").alias("text")))
+    tokens = posts.select("w", "bucket", "id", T.preset(F.coalesce("text", F.lit("")), "merge", config).alias("tokens")).join(both.select("w", "bucket", "t_bucket"), ["w", "bucket"])
+    found = fusion.matched_sources(tokens.where("t_bucket").drop("t_bucket"), tokens.where("NOT t_bucket").drop("t_bucket"), config)
+    groups = cut(fusion.fused(both, found))
+    items = both.select("w", "bucket", F.explode("instagram").alias("i")).select("w", "bucket", "i.*")
+    rows = fusion.fused_buckets(groups, both, posts, items)
+    place = F.row_number().over(Window.partitionBy("w").orderBy("signature", "root"))
+    return rows.withColumn("pos", place).withColumnRenamed("root", "bucket")

@@ -203,15 +203,32 @@ def consolidate(spark, d):
 
 
 def absorb(spark, d):
-    """Consolidated buckets after absorbing each other, with their posts."""
-    own = pipeline.consolidated_members(*_found(spark, d))
-    merged = cluster.absorbed(own.select("w", "bucket", "id", T.preset(F.col("text"), "merge").alias("tokens")))
-    return merged.groupBy("w", "bucket").agg(F.count(F.lit(1)).alias("posts"))
+    """Consolidated buckets after absorbing each other: their words and how many posts they hold."""
+    found, rows = _found(spark, d)
+    rows = cut(rows)
+    clusters = cut(cluster.consolidated(found, rows))
+    own = pipeline.consolidated_members(found, rows, clusters=clusters)
+    merged, names = cluster.absorbing(own.select("w", "bucket", "id", T.preset(F.col("text"), "merge").alias("tokens")))
+    signs = cluster.merged_buckets(clusters).select("w", F.xxhash64("w", "root").alias("origin"), "signature")
+    sizes = merged.groupBy("w", "bucket").agg(F.count(F.lit(1)).alias("posts"))
+    return cluster.absorbed_signatures(names, signs).join(sizes, ["w", "bucket"]).select("w", "signature", "posts")
+
+
+def pictures(spark, d):
+    """The picture buckets of ``general_bucket`` in the general form, numbered by window."""
+    heads = first_buckets(spark, d).where("i_bucket AND NOT t_bucket")
+    number = F.broadcast(prepare.hours(posts(spark, d)).withColumnRenamed("ord", "w"))  # one row a file
+    rows = read_table(spark, d, "general_bucket").where("bucket_id IS NOT NULL")
+    items = rows.select("bucket_id", F.explode("instagram").alias("i")).where("i.url IS NOT NULL").groupBy("bucket_id", "i.url").agg(F.min(F.struct("i.name", "i.tags")).alias("_i"))
+    items = items.groupBy("bucket_id").agg(F.array_sort(F.collect_list(F.struct("_i.name", "_i.tags", "url"))).alias("instagram"))
+    tweets = members(spark, d).groupBy(F.col("bucket").alias("bucket_id")).agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("twitter"))
+    named = heads.join(number, "ts").join(tweets, "bucket_id", "left").join(items, "bucket_id", "left")
+    return named.select("w", F.col("bucket_id").alias("bucket"), F.lit("").alias("signature"), "t_bucket", "i_bucket", "twitter", "instagram")
 
 
 def pipeline_events(spark, d):
-    """The events of the whole chain: in how many windows each was seen, with how many posts."""
-    told = pipeline.events(posts(spark, d), WHOLE)["summary"]
+    """The events of the whole chain with both sources: in how many windows each was seen, with how many posts."""
+    told = pipeline.events(posts(spark, d), WHOLE, pictures(spark, d))["summary"]
     return told.groupBy("event_id").agg(F.min("w").alias("first"), F.max("w").alias("last"), F.count_distinct("id").alias("posts"), F.max("closed").alias("closed"))
 
 
@@ -297,6 +314,20 @@ def fuse_buckets(spark, d):
     return fusion.fused_rows(groups, heads.select("w", "bucket", "signature", "t_bucket", "i_bucket"), rows.select("w", "bucket", "id"), items)
 
 
+def fuse_lists(spark, d):
+    """The fused buckets with their posts and items."""
+    heads = first_buckets(spark, d).withColumnRenamed("bucket_id", "bucket").withColumnRenamed("ts", "w")
+    rows = cut(members(spark, d))
+    marked = rows.join(heads.select("bucket", "t_bucket", "i_bucket"), "bucket")
+    found = fusion.matched_sources(marked.where("t_bucket AND NOT i_bucket"), marked.where("i_bucket AND NOT t_bucket"))
+    groups = cut(fusion.fused(heads, found))
+    items = read_table(spark, d, "general_bucket").select(F.col("ts").alias("w"), F.col("bucket_id").alias("bucket"), F.explode("instagram").alias("i")).where("bucket IS NOT NULL AND i.url IS NOT NULL")
+    items = items.groupBy("w", "bucket", "i.url").agg(F.min("i.name").alias("name"), F.min("i.tags").alias("tags"))
+    fused = fusion.fused_buckets(groups, heads, rows, items)
+    texts = F.array_join(F.transform("twitter", lambda t: F.concat_ws(" ", t["id"].cast("string"), t["text"])), "\n")
+    return fused.select("w", "root", "signature", "t_bucket", "i_bucket", texts.alias("posts"), F.array_join(F.transform("instagram", lambda i: i["url"]), " ").alias("urls"))
+
+
 def _tracked(spark, d):
     heads = first_buckets(spark, d)
     number = F.broadcast(prepare.hours(heads).withColumnRenamed("ord", "w"))  # one row a window
@@ -362,6 +393,6 @@ QUERIES = {
         window_counts, info_gain, burst_detect, burst_carryover, topk_tokens, bucket_jaccard, consolidate, absorb, pipeline_events,
         bipartite_match, absorb_buckets, post_graph, partition, token_df, token_counts, event_buckets, purify, pairwise_stats, overlap_stats,
         share_vectors, beta_moments, whole_beta, expectation_split, inter_intra_similarity, file_sample, exact_split,
-        fuse_buckets, track_parent, track_events, track_summary, track_length, closed_events, text_report, item_bucket_rows, stream_popular,
+        fuse_buckets, fuse_lists, track_parent, track_events, track_summary, track_length, closed_events, text_report, item_bucket_rows, stream_popular,
     )
 }
