@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, EngineConfig
 from emberline.functions import text as T
+from emberline.functions import tweets
 from emberline.session import cut
 
 
@@ -17,6 +18,13 @@ def hours(posts: DataFrame) -> DataFrame:
     return posts.select("ts").distinct().withColumn("ord", F.row_number().over(Window.orderBy("ts")))
 
 
+def unwrapped(raw: DataFrame) -> DataFrame:
+    """``ts, line_no, id, text, lang, repost_lang`` of valid raw posts (``ts, line_no, post``): of reposts the innermost post's id and text."""
+    inner = tweets.innermost(F.col("post"))
+    rows = raw.where(tweets.is_valid(F.col("post")))
+    return rows.select("ts", "line_no", inner["id"].alias("id"), inner["text"].alias("text"), F.col("post.lang").alias("lang"), F.col("post.retweeted_status.lang").alias("repost_lang"))
+
+
 def first_seen(posts: DataFrame, scope: Sequence[str] = ("ts",), least_id: int = DEFAULT.least_id) -> DataFrame:
     """The first delivery of each valid id in each file (``scope`` ``("ts",)``) or overall (``()``)."""
     order = Window.partitionBy(*scope, "id").orderBy("ts", "line_no")
@@ -34,7 +42,9 @@ def with_words(posts: DataFrame, words: Sequence[str]) -> DataFrame:
 
 
 def in_language(posts: DataFrame, lang: str = "en") -> DataFrame:
-    return posts.where(F.col("lang") == lang)
+    """Posts in a language; of a repost with a language of its own (``repost_lang``, if there is such a column) both count."""
+    rows = posts.where(F.col("lang") == lang)
+    return rows.where(F.coalesce(F.col("repost_lang") == lang, F.lit(True))) if "repost_lang" in posts.columns else rows
 
 
 def keep_fields(posts: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -266,6 +266,10 @@ ORACLES = {
           line::JSON ->> '$.user.screen_name' AS name, (line::JSON ->> '$.user.id')::BIGINT AS source_id, false AS valid, line::JSON ->> '$.lang' AS lang
         FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS l FROM documents WHERE doc_kind = 'raw'))
         WHERE starts_with(line, '{') AND json_valid(line)""",
+    "raw_line_counts": r"""
+        SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE NOT (starts_with(ltrim(line), '{') AND json_valid(line))) AS bad,
+          count(*) FILTER (WHERE starts_with(ltrim(line), '{') AND json_valid(line)) AS invalid
+        FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM documents WHERE doc_kind = 'raw') WHERE trim(line) <> '' GROUP BY doc_id""",
     "dedup_first_seen": f"WITH {_READY} SELECT ts, line_no, id FROM firsts",
     "dedup_across_files": f"SELECT ts, line_no, id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, line_no) AS nth FROM tweet WHERE id >= {LEAST_ID}) WHERE nth = 1",
     "query_filter": "SELECT ts, line_no, id FROM tweet WHERE " + " OR ".join(f"contains(lower(text), {_text(w)})" for w in SEARCH_WORDS),

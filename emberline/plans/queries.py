@@ -12,7 +12,7 @@ from emberline.operators import buckets as B
 from emberline.operators import cluster, detect, fusion, match, prepare, report, stats, track
 from emberline.plans import pipeline
 from emberline.sources import read_table
-from emberline.sources.files import item_buckets, parse_lines
+from emberline.sources.files import item_buckets, line_counts, parse_lines
 from emberline.session import cut
 
 
@@ -81,11 +81,19 @@ def url_ids(spark, d):
     return posts(spark, d).select("ts", "line_no", T.last_segment_id(url).alias("status_id"))
 
 
+def _raw(spark, d):
+    return read_table(spark, d, "documents").where("doc_kind = 'raw'").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+
+
+def raw_line_counts(spark, d):
+    """The lines of the raw documents, and how many are no JSON object or no valid post."""
+    return line_counts(_raw(spark, d), "doc_id")
+
+
 def raw_lines(spark, d):
     """The JSON lines inside the raw documents, read as posts."""
-    lines = read_table(spark, d, "documents").where("doc_kind = 'raw'").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
     post = F.col("post")
-    return parse_lines(lines.where(F.col("line").startswith("{"))).select(
+    return parse_lines(_raw(spark, d)).select(
         "doc_id", "line_no", tweets.post_id(post).alias("id"), tweets.post_id_text(post).alias("id_str"), tweets.post_text(post).alias("text"),
         tweets.source_name(post).alias("name"), tweets.source_id(post).alias("source_id"), tweets.is_valid(post).alias("valid"), post["lang"].alias("lang"),
     )
@@ -387,7 +395,7 @@ def stream_popular(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_text, tokenize, keyword_sets, kw_pairs, post_tokens, point_from_text, render_text, account_links, url_ids, raw_lines,
+        normalize_text, tokenize, keyword_sets, kw_pairs, post_tokens, point_from_text, render_text, account_links, url_ids, raw_lines, raw_line_counts,
         dedup_first_seen, dedup_across_files, query_filter, lang_filter, project_fields, parse_created_at, time_compare, tanimoto_distance, vector_distance,
         hourly_buckets, popular_buckets, redundant_pairs, diversify, sticky_pairs, diversify_recent,
         window_counts, info_gain, burst_detect, burst_carryover, topk_tokens, bucket_jaccard, consolidate, absorb, pipeline_events,

@@ -3,29 +3,41 @@
 from __future__ import annotations
 
 import ast
-import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.functions.tweets import RAW_POST
+from emberline.functions.tweets import RAW_POST, is_valid
+from emberline.session import small_or_not
+
+
+def _parsed(lines: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    parsed = lines.where(F.trim(column) != "").withColumn("post", F.from_json(F.col(column), RAW_POST, {"mode": "PERMISSIVE"}))
+    return parsed, F.coalesce(F.ltrim(column).startswith("{") & F.col("post").isNotNull() & F.try_parse_json(column).isNotNull(), F.lit(False))
 
 
 def parse_lines(lines: DataFrame, column: str = "line", continue_on_error: bool = True) -> DataFrame:
-    """``lines`` with ``post``, the JSON of each line as a struct; bad lines are left out, or fail the job.
+    """``lines`` with ``post``, the JSON object of each line as a struct; bad lines are left out, or fail the job.
 
     Blank lines are skipped. Lines are data and never evaluated.
     """
-    parsed = lines.where(F.trim(column) != "").withColumn("post", F.from_json(F.col(column), RAW_POST, {"mode": "PERMISSIVE"}))
-    good = F.col("post").isNotNull() & F.try_parse_json(column).isNotNull()
+    parsed, good = _parsed(lines, column)
     if continue_on_error:
         return parsed.where(good)
     return parsed.withColumn("post", F.when(good, F.col("post")).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.substring(column, 1, 80))).cast(RAW_POST)))
 
 
+def line_counts(lines: DataFrame, *keys: str, column: str = "line") -> DataFrame:
+    """``keys, lines, bad, invalid``: the lines that aren't blank, those that are no JSON object, and the objects that are no valid post."""
+    parsed, good = _parsed(lines, column)
+    parts = parsed.select(*keys, good.alias("_good"), is_valid(F.col("post")).alias("_valid"))
+    counts = [F.count(F.lit(1)), F.count(F.when(~F.col("_good"), 1)), F.count(F.when(F.col("_good") & ~F.col("_valid"), 1))]
+    return parts.groupBy(*keys).agg(*[c.alias(n) for c, n in zip(counts, ("lines", "bad", "invalid"))])
+
+
 def python_literals(lines: DataFrame, column: str = "line") -> DataFrame:
     """``lines`` in which a Python dict literal became JSON; anything else, code above all, becomes null."""
 
@@ -58,12 +70,22 @@ def file_hour(path: Column) -> Column:
     return F.when(~hidden, F.regexp_extract(path, "(?:^|/)([0-9]+)[^/]*$", 1).try_cast("bigint"))
 
 
-def read_posts(spark: SparkSession, directory: str, suffix: str = ".60m.cluster_head.txt") -> DataFrame:
-    """``ts, line_no, post`` of all files ``<ts><suffix>`` of a directory; the number of a line orders lines within its file only."""
+def read_lines(spark: SparkSession, directory: str, suffix: str = ".60m.cluster_head.txt") -> DataFrame:
+    """``ts, line_no, line`` of all files ``<ts><suffix>`` of a directory; ``line_no`` orders the lines of a file.
+
+    A file may be read in blocks by several tasks. A block has no more lines than bytes, so its start, and the line's
+    place in it, give numbers that rise through the file, without sorting it.
+    """
     text = spark.read.option("pathGlobFilter", f"*{suffix}").text(directory)
-    own = text.select(F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    own = own.select(F.regexp_extract("_f", "^([0-9]+)", 1).try_cast("bigint").alias("ts"), "line_no", "line").where("ts IS NOT NULL")
-    return parse_lines(own).select("ts", "line_no", "post")
+    own = text.select(F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"), F.col("value").alias("line"))
+    blocks = own.groupBy("_f", "_b").agg(F.min("_n").alias("_first"))
+    placed = own.join(small_or_not(blocks), ["_f", "_b"])
+    return placed.select(file_hour(F.col("_f")).alias("ts"), (F.col("_b") + F.col("_n") - F.col("_first")).alias("line_no"), "line").where("ts IS NOT NULL")
+
+
+def read_posts(spark: SparkSession, directory: str, suffix: str = ".60m.cluster_head.txt") -> DataFrame:
+    """``ts, line_no, post`` of the good lines of all files ``<ts><suffix>`` of a directory."""
+    return parse_lines(read_lines(spark, directory, suffix)).select("ts", "line_no", "post")
 
 
 def read_stage(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -130,26 +152,3 @@ def parse_labelled(reports: DataFrame, column: str = "value") -> DataFrame:
             yield pd.DataFrame(rows, columns=["signature", "cluster", "texts"])
 
     return reports.select(column).mapInPandas(run, "signature string, cluster int, texts array<string>")
-
-
-def stage_path(root: str, stage: str) -> str:
-    return os.path.join(root, stage)
-
-
-def page(rows: DataFrame, number: int, size: int = 10, order: str = "ts") -> DataFrame:
-    """Page ``number`` (from 0) of a listing."""
-    return rows.orderBy(order).offset(number * size).limit(size)
-
-
-def union_runs(parts: list[DataFrame], marks: list | None = None) -> DataFrame:
-    """The rows of several runs together, with ``mark`` if marks are given."""
-    marked = [p.withColumn("mark", F.lit(m)) for p, m in zip(parts, marks)] if marks else parts
-    out = marked[0]
-    for p in marked[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """``rows`` with ``n``, the place of each in its group."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))

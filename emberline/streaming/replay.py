@@ -20,14 +20,21 @@ def post_stream(spark: SparkSession, path: str, schema, files_a_batch: int | Non
 
 
 def replay_popular(posts: DataFrame, target: str, checkpoint: str, config: EngineConfig = DEFAULT) -> None:
-    """Prepares each micro-batch and writes its popular pairs by hour; runs until what has arrived is done.
+    """Keeps each micro-batch's posts by hour and writes the popular pairs of the hours it has posts of; runs until what has arrived is done.
 
-    A micro-batch holds whole hours, as each source file is one hour. A repeated batch writes the same hours again, so
-    the result is the same after a failure.
+    An hour may come in several batches: its pairs are counted again over all of its posts that have arrived. A repeated
+    batch replaces its own posts and writes the same hours again, so the result is the same after a failure.
     """
+    kept = f"{checkpoint}-posts"
 
-    def write(batch: DataFrame, _: int) -> None:
-        write_stage(popular_counts(prepared(batch, config), config.hourly_floor), target)
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = batch.select("ts", "line_no", "id", "text").withColumn("batch", F.lit(number))
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "ts").parquet(kept)
+        here = spark.read.parquet(kept)
+        hours = here.where(F.col("batch") == number).select("ts").distinct()
+        arrived = here.join(F.broadcast(hours), "ts", "left_semi").withColumn("ts", F.col("ts").cast("bigint"))  # one row an hour
+        write_stage(popular_counts(prepared(arrived.drop("batch"), config), config.hourly_floor), target)
 
     posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -240,3 +240,40 @@ def test_huge_kept_follows_signature_and_first_post(spark):
     kept = lambda d: [r.bucket for r in cluster.partitioned(d, EngineConfig(huge_kept=1)).select("bucket").distinct().collect()]
     assert kept(df) == [3]
     assert kept(df.withColumn("signature", F.when(F.col("bucket") == 2, "a").otherwise("b"))) == [2]
+
+
+def test_hours_in_several_batches_are_counted_whole(spark, tmp_path):
+    from emberline.streaming.replay import post_stream, replay_popular
+
+    text = "alpha bravo charlie"
+    rows = [(1, k, 200_000 + k, text) for k in range(4)] + [(2, 9, 300_000, text)]
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], POSTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = post_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], POSTS).schema, 2)
+    replay_popular(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert [(r.ts, r.kwp, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "alpha__charlie", 4)]
+
+
+def test_lines_of_files_keep_their_order(spark, tmp_path):
+    import json
+
+    from emberline.sources.files import line_counts, read_lines, read_posts
+
+    post = lambda k, inner=None: json.dumps({"id": k, "text": f"t{k}", "created_at": "2012-11-04 05:12:34", "lang": "en", "user": {"id": 7, "screen_name": "u"}, **({"retweeted_status": inner} if inner else {})})
+    nested = {"id": 900_001, "text": "mid", "lang": "de", "retweeted_status": {"id": 900_002, "text": "deep"}}
+    lines = [post(500_000 + k) for k in range(300)] + ["", "not json", "__import__('os')", '{"id": 5}', post(900_000, nested)]
+    (tmp_path / "7.60m.cluster_head.txt").write_text("\n".join(lines))
+    (tmp_path / "8.60m.cluster_head.txt").write_text(post(1))
+    (tmp_path / "timestamps.60m.cluster_head.txt").write_text(post(2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_lines(spark, str(tmp_path)).where("ts = 7").orderBy("line_no").collect()
+        assert [r.line for r in rows] == lines
+        raw = read_posts(spark, str(tmp_path))
+        found = prepare.unwrapped(raw).orderBy("ts", "line_no").collect()
+        assert [r.id for r in found] == [500_000 + k for k in range(300)] + [900_002, 1]
+        assert (found[300].text, found[300].repost_lang) == ("deep", "de")
+        assert prepare.in_language(prepare.unwrapped(raw)).count() == 301
+        assert [tuple(r) for r in line_counts(read_lines(spark, str(tmp_path)), "ts").orderBy("ts").collect()] == [(7, 304, 2, 1), (8, 1, 0, 0)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
