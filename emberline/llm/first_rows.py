@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.session import BROADCAST_ROWS, cut
+from emberline.session import BROADCAST_ROWS, cut, fits_broadcast
 
 
 def first_rows(df: DataFrame, key: str, order: list[str], columns: list[str], limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
@@ -31,7 +31,7 @@ def first_rows(df: DataFrame, key: str, order: list[str], columns: list[str], li
     if not keys:
         return rows.select(key, *columns), total
     side = repeats.select(F.col(key).alias("_key"), F.struct(*[F.col(f"_first.{c}").alias(c) for c in order]).alias("_at"), (F.col("_first._n") > 1).alias("_tie"))
-    side = F.broadcast(side) if keys <= limit else side
+    side = F.broadcast(side) if fits_broadcast(side, keys, limit) else side
     first = rows.join(side, F.col(key) == F.col("_key"), "left").where(F.col("_at").isNull() | (F.col("_at") == place))
     if tie > 1:  # only the rows delivered twice are moved
         tied = F.coalesce("_tie", F.lit(False))

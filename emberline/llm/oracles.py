@@ -56,6 +56,17 @@ JOIN bucket_size x ON x.bucket_id = a JOIN bucket_size y ON y.bucket_id = b WHER
 
 ORACLES = {
     "p1_found": _P1,
+    "p1_classes": f"""
+        WITH {_TWEETS},
+        sets AS (SELECT id, list_sort(list(term)) AS terms FROM held GROUP BY id),
+        classes AS (SELECT terms, min(id) AS class_id FROM sets GROUP BY terms),
+        named AS (SELECT id, class_id FROM sets JOIN classes USING (terms)),
+        own AS (SELECT class_id, len(terms) AS n, unnest(terms) AS term FROM classes),
+        met AS (
+          SELECT x.class_id AS a, y.class_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS both_hold
+          FROM own x JOIN own y ON x.term = y.term AND x.class_id <> y.class_id GROUP BY 1, 2),
+        degree AS (SELECT a AS class_id, count(*) AS links FROM met WHERE both_hold * 5 >= 4 * (na + nb - both_hold) GROUP BY a)
+        SELECT id, class_id, coalesce(links, 0) AS links FROM named LEFT JOIN degree USING (class_id)""",
     "p2_counts": _P2,
     "p2_found": f"SELECT term, mark FROM ({_P2}) WHERE mark IS NOT NULL",
     "p2_ngrams": f"""

@@ -221,7 +221,7 @@ class Finder:
                 return None
         low = self.cues.no_names
         words = [w for w in (given, surname) if w]
-        if any(w.lower() in low for w in words):
+        if any(w.lower() in low for w in words) or (k == 1 and surname.lower() in self.cues.titles):
             return None
         cased = all(w[0].isupper() for w in words) and (given is not None or text[at].isupper() or text[end - 2].isupper())
         return at, end, given, surname, cased, given is not None and given.lower() in self.parts.given, self._known(surname, self.parts.surnames)
@@ -233,7 +233,7 @@ class Finder:
     def _after_cue(self, text: str, at: int, kind: str) -> tuple | None:
         """The name that begins at ``at``, after a cue; in lower case only one of whose parts one is known."""
         at = m.end() if (m := self.title.match(text, at)) and kind != "title" else at
-        for k in (0, 3, 1, 2):
+        for k in (0, 1, 3, 2):
             if (found := self._form(k, text, at)) is None:
                 continue
             _, _, given, _, cased, known_given, known_surname = found
