@@ -50,6 +50,22 @@ def is_valid(post: Column) -> Column:
     return good
 
 
+def coordinates(post: Column) -> Column:
+    return post["coordinates"]
+
+
+def geo(post: Column) -> Column:
+    return post["geo"]
+
+
+def location(post: Column) -> Column:
+    return post["user"]["location"]
+
+
+def profile_location(post: Column) -> Column:
+    return post["user"]["profile_location"]
+
+
 def innermost(post: Column) -> Column:
     """Id and text of the innermost reposted post."""
     levels = [post["retweeted_status"]["retweeted_status"], post["retweeted_status"], post]

@@ -69,6 +69,13 @@ def diversified(posts: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame
     return kept.groupBy("ts", "id").agg(F.count(F.lit(1)).alias("kept")).where(F.col("kept") >= least)
 
 
+def diversified_posts(posts: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
+    """``ts, id, kwpairs``: the posts that keep at least ``least`` keyword pairs without the redundant ones, with these pairs."""
+    own = posts.select("ts", "id", F.explode("kwpairs").alias("p")).select("ts", "id", "p.a", "p.b")
+    kept = own.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return kept.groupBy("ts", "id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("kwpairs")).where(F.size("kwpairs") >= least)
+
+
 def sticky_pairs(posts: DataFrame, lookback: int = DEFAULT.lookback, floor: float = DEFAULT.pair_removal) -> DataFrame:
     """``w, a, b, together, total``: the same for each file with the ``lookback`` files before it.
 

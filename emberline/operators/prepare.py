@@ -47,9 +47,14 @@ def in_language(posts: DataFrame, lang: str = "en") -> DataFrame:
     return rows.where(F.coalesce(F.col("repost_lang") == lang, F.lit(True))) if "repost_lang" in posts.columns else rows
 
 
-def keep_fields(posts: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The named fields, those that are there."""
-    return posts.select(*[f for f in fields if f in posts.columns])
+def keep_fields(posts: DataFrame, fields: Sequence[str], user_fields: Sequence[str] = ()) -> DataFrame:
+    """The named fields, those that are there; of ``user``, if it is one of them and ``user_fields`` are named, only these."""
+    own = []
+    for f in fields:
+        if f in posts.columns:
+            there = [u for u in user_fields if u in posts.schema["user"].dataType.names] if f == "user" and user_fields else []
+            own.append(F.struct(*[F.col(f"user.{u}").alias(u) for u in there]).alias("user") if there else F.col(f))
+    return posts.select(*own)
 
 
 def prepared(posts: DataFrame, config: EngineConfig = DEFAULT, search: Sequence[str] = (), written: bool = False) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, EngineConfig
 from emberline.functions.measures import beta_moments
+from emberline.session import cut, small_or_not
 
 
 def token_counts(members: DataFrame) -> DataFrame:
@@ -38,12 +41,29 @@ def purified(members: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     return event_buckets(members, config).where(F.col("posts") < config.purify_below)
 
 
+#: Posts with one token in a bucket that meet its other ones in one place.
+PLACE_POSTS = 2000
+
+
+def token_pairs(members: DataFrame, columns: Sequence[str] = (), place_posts: int = PLACE_POSTS) -> DataFrame:
+    """``bucket, a, b, shared, na, nb`` and each of ``columns`` of both posts (with _a and _b): pairs a < b of a bucket's posts that share a token.
+
+    The posts of a bucket that hold one common token are dealt into parts, and each part meets every part in a place of
+    its own, so that no task has all pairs of a token.
+    """
+    held = members.select("bucket", "id", *columns, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    often = held.groupBy("bucket", "t").agg(F.ceil(F.count(F.lit(1)) / place_posts).cast("int").alias("_k")).where("_k > 1")
+    dealt = held.join(small_or_not(cut(often)), ["bucket", "t"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    side = lambda d, name: d.select("bucket", "t", "p", F.col("id").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    x = side(dealt.withColumn("p", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")), "a")
+    y = side(dealt.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))), "b")
+    both = [f"{c}_{name}" for c in columns for name in "ab"]
+    return x.join(y, ["bucket", "t", "p"]).where("a < b").groupBy("bucket", "a", "b", "na", "nb", *both).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def overlap_pairs(members: DataFrame) -> DataFrame:
     """``bucket, a, b, shared, na, nb``: pairs of posts a < b of a bucket that share a token."""
-    rows = members.select("bucket", "id", F.array_distinct("tokens").alias("tokens"))
-    x = rows.select("bucket", F.col("id").alias("a"), F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
-    y = rows.select("bucket", F.col("id").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    return x.join(y, ["bucket", "t"]).where("a < b").groupBy("bucket", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return token_pairs(members.select("bucket", "id", F.array_distinct("tokens").alias("tokens")))
 
 
 def _mean_variance(pairs: DataFrame, members: DataFrame, value, of_empty) -> DataFrame:  # noqa: ANN001
@@ -83,6 +103,11 @@ def overlap_stats(members: DataFrame) -> DataFrame:
     return _finish(own, F.col("_s") + with_empty, F.col("_q") + with_empty)
 
 
+def labelled_stats(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket, mean, variance, label``: the distance statistics of the buckets that have a label (``bucket, label``), 1 or -1."""
+    return distance_stats(members).join(labels.where("label IN (1, -1)"), "bucket").select("bucket", "mean", "variance", "label")
+
+
 def every_nth(rows: DataFrame, ts_dim: DataFrame, n: int) -> DataFrame:
     """Rows of the first of every ``n`` source files."""
     return rows.join(F.broadcast(ts_dim.where((F.col("ord") - 1) % n == 0).select("ts")), "ts", "left_semi")  # one row a file
@@ -117,10 +142,8 @@ def cluster_similarity(members: DataFrame) -> DataFrame:
     ``members`` has ``bucket, part, id, tokens``. Pairs without a shared token count as 0, those with an empty post as 1.
     """
     rows = members.select("bucket", "part", "id", F.array_distinct("tokens").alias("tokens"))
-    x = rows.select("bucket", F.col("part").alias("pa"), F.col("id").alias("a"), F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
-    y = rows.select("bucket", F.col("part").alias("pb"), F.col("id").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    shared = x.join(y, ["bucket", "t"]).where("a < b").groupBy("bucket", "pa", "a", "na", "pb", "b", "nb").agg(F.count(F.lit(1)).alias("n"))
-    sums = shared.groupBy((F.col("pa") == F.col("pb")).alias("inside")).agg(F.sum(F.col("n").cast("double") / F.least("na", "nb")).alias("_s"))
+    shared = token_pairs(rows, ["part"])
+    sums = shared.groupBy((F.col("part_a") == F.col("part_b")).alias("inside")).agg(F.sum(F.col("shared").cast("double") / F.least("na", "nb")).alias("_s"))
     part = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("tokens") == 0, 1)).alias("e"))
     pairs = lambda n: n * (n - 1) / 2
     n, e = F.col("n"), F.col("e")

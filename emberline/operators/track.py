@@ -68,3 +68,10 @@ def closed_events(found: DataFrame, text_order: bool = False) -> DataFrame:
     line = F.concat_ws(": ", F.col("w").cast("string"), F.array_join(F.transform("_ids", lambda x: x.cast("string")), " "))
     entries = F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l"))))
     return lines.groupBy("event_id").agg(F.array_join(F.transform(entries, lambda e: e["l"]), "\n").alias("report"))
+
+
+def closed_events_json(found: DataFrame) -> DataFrame:
+    """``event_id, event``: each closed event as a JSON object with its windows in order and the ids of each."""
+    windows = found.where("closed").groupBy("event_id", "w").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    lists = windows.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("w", "ids"))).alias("windows"))
+    return lists.select("event_id", F.to_json(F.struct("event_id", "windows")).alias("event"))

@@ -299,6 +299,13 @@ ORACLES = {
         every AS (SELECT a, b, id FROM near UNION ALL SELECT a, b, id FROM pairs), s AS (SELECT a, b, count(DISTINCT id) AS total FROM every GROUP BY a, b),
         r AS (SELECT a, b FROM t JOIN s USING (a, b) WHERE together::DOUBLE / total >= {PAIR_REMOVAL}::DOUBLE)
         SELECT ts, id, count(*) AS kept FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = p.a AND r.b = p.b) GROUP BY ts, id HAVING count(*) >= 2""",
+    "diversified_buckets": f"""
+        WITH {_READY}, t AS (SELECT a, b, count(DISTINCT id) AS together FROM near GROUP BY a, b),
+        every AS (SELECT a, b, id FROM near UNION ALL SELECT a, b, id FROM pairs), s AS (SELECT a, b, count(DISTINCT id) AS total FROM every GROUP BY a, b),
+        r AS (SELECT a, b FROM t JOIN s USING (a, b) WHERE together::DOUBLE / total >= {PAIR_REMOVAL}::DOUBLE),
+        kept AS (SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = p.a AND r.b = p.b)),
+        enough AS (SELECT ts, id FROM kept GROUP BY ts, id HAVING count(*) >= 2)
+        SELECT ts, kwp, count(*) AS n FROM kept SEMI JOIN enough USING (ts, id) GROUP BY ts, kwp""",
     "sticky_pairs": f"""
         WITH {_READY}, wn AS (SELECT e.ord::INTEGER AS w, n.a, n.b, n.id FROM near n JOIN own_dim d USING (ts) JOIN own_dim e ON d.ord <= e.ord AND d.ord >= e.ord - {LOOKBACK}),
         wp AS (SELECT e.ord::INTEGER AS w, n.a, n.b, n.id FROM pairs n JOIN own_dim d USING (ts) JOIN own_dim e ON d.ord <= e.ord AND d.ord >= e.ord - {LOOKBACK}),
@@ -332,6 +339,11 @@ ORACLES = {
     "purify": f"WITH {_members('purify')}, {_SUMS} SELECT * FROM sums WHERE total::DOUBLE / (kinds * posts) > {MEAN_FLOOR}::DOUBLE AND posts < {PURIFY_BELOW}",
     "pairwise_stats": f"WITH {_members('purify')}, "
     + _PAIR_STATS.format(value=f"CASE WHEN len(x.kinds) + len(y.kinds) = 0 THEN 0.0::DOUBLE ELSE 1 - {_SHARED}::DOUBLE / (len(x.kinds) + len(y.kinds) - {_SHARED}) END"),
+    "labelled_stats": f"WITH {_members('purify')}, kinds_of AS (SELECT bucket, any_value(posts) AS posts, count(DISTINCT token) AS kinds, count(*) AS total FROM held JOIN size USING (bucket) GROUP BY bucket), "
+    + _PAIR_STATS.format(value=f"CASE WHEN len(x.kinds) + len(y.kinds) = 0 THEN 0.0::DOUBLE ELSE 1 - {_SHARED}::DOUBLE / (len(x.kinds) + len(y.kinds) - {_SHARED}) END").replace(
+        "SELECT bucket, pairs, round", f"SELECT bucket, CASE WHEN total::DOUBLE / (kinds * posts) > {MEAN_FLOOR}::DOUBLE THEN 1 ELSE -1 END AS label, round"
+    )
+    + " JOIN kinds_of USING (bucket)",
     "overlap_stats": f"WITH {_members('overlap')}, "
     + _PAIR_STATS.format(value=f"CASE WHEN least(len(x.kinds), len(y.kinds)) = 0 THEN 1.0::DOUBLE ELSE {_SHARED}::DOUBLE / least(len(x.kinds), len(y.kinds)) END"),
     "share_vectors": f"""WITH {_members("purify")}, {_SHARES}, lists AS (SELECT bucket, list_reverse_sort(list(df)) AS l FROM shares GROUP BY bucket), longest AS (SELECT max(len(l)) AS m FROM lists)
@@ -390,6 +402,9 @@ ORACLES = {
     "closed_events": f"""WITH RECURSIVE {_TRACK}, lines AS (
           SELECT event_id, w, w::VARCHAR || ': ' || string_agg(id::VARCHAR, ' ' ORDER BY id) AS line FROM (SELECT DISTINCT event_id, w, id FROM summary WHERE closed) GROUP BY event_id, w)
         SELECT event_id, string_agg(line, chr(10) ORDER BY w) AS report FROM lines GROUP BY event_id""",
+    "closed_events_json": f"""WITH RECURSIVE {_TRACK}, lines AS (SELECT event_id, w, list_sort(list_distinct(list(id))) AS ids FROM summary WHERE closed GROUP BY event_id, w)
+        SELECT event_id, to_json({{'event_id': event_id, 'windows': list({{'w': w, 'ids': ids}} ORDER BY w)}})::VARCHAR AS event FROM lines GROUP BY event_id""",
+    "file_page": "SELECT DISTINCT ts FROM tweet ORDER BY ts LIMIT 10 OFFSET 10",
     "text_report": r"""
         WITH one AS (SELECT DISTINCT ts, pos, bucket_id, signature, t_bucket, i_bucket, twitter, instagram FROM general_bucket),
         n AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY pos, bucket_id) AS k FROM one)

@@ -12,7 +12,7 @@ from emberline.operators import buckets as B
 from emberline.operators import cluster, detect, fusion, match, prepare, report, stats, track
 from emberline.plans import pipeline
 from emberline.sources import read_table
-from emberline.sources.files import item_buckets, line_counts, parse_lines
+from emberline.sources.files import item_buckets, line_counts, page, parse_lines
 from emberline.session import cut
 
 
@@ -165,6 +165,12 @@ def diversify(spark, d):
     return B.diversified(rows, B.redundant_pairs(rows))
 
 
+def diversified_buckets(spark, d):
+    """Sizes of the hourly buckets of diversified posts, popular or not."""
+    rows = ready(spark, d)
+    return B.pair_counts(B.diversified_posts(rows, B.redundant_pairs(rows)))
+
+
 def sticky_pairs(spark, d):
     return B.sticky_pairs(ready(spark, d)).select("w", "a", "b", "together", "total")
 
@@ -277,6 +283,14 @@ def pairwise_stats(spark, d):
     return stats.distance_stats(members(spark, d, "purify"))
 
 
+def labelled_stats(spark, d):
+    """Distance statistics of buckets, labelled 1 if their mean token share makes them events, else -1."""
+    rows = cut(members(spark, d, "purify"))
+    mean = F.col("total").cast("double") / (F.col("kinds") * F.col("posts"))
+    labels = stats.bucket_sums(rows).select("bucket", F.when(mean > DEFAULT.mean_floor, 1).otherwise(-1).alias("label"))
+    return stats.labelled_stats(rows, labels)
+
+
 def overlap_stats(spark, d):
     return stats.overlap_stats(members(spark, d, "overlap"))
 
@@ -365,6 +379,15 @@ def closed_events(spark, d):
     return track.closed_events(track_summary(spark, d))
 
 
+def closed_events_json(spark, d):
+    return track.closed_events_json(track_summary(spark, d))
+
+
+def file_page(spark, d):
+    """The second page of the source files' hours."""
+    return page(prepare.hours(posts(spark, d)).select("ts"), 1)
+
+
 def text_report(spark, d):
     one = read_table(spark, d, "general_bucket").dropDuplicates(["ts", "pos", "bucket_id", "twitter", "instagram"])
     return report.reports(one)
@@ -397,10 +420,10 @@ QUERIES = {
     for f in (
         normalize_text, tokenize, keyword_sets, kw_pairs, post_tokens, point_from_text, render_text, account_links, url_ids, raw_lines, raw_line_counts,
         dedup_first_seen, dedup_across_files, query_filter, lang_filter, project_fields, parse_created_at, time_compare, tanimoto_distance, vector_distance,
-        hourly_buckets, popular_buckets, redundant_pairs, diversify, sticky_pairs, diversify_recent,
+        hourly_buckets, popular_buckets, redundant_pairs, diversify, diversified_buckets, sticky_pairs, diversify_recent,
         window_counts, info_gain, burst_detect, burst_carryover, topk_tokens, bucket_jaccard, consolidate, absorb, pipeline_events,
-        bipartite_match, absorb_buckets, post_graph, partition, token_df, token_counts, event_buckets, purify, pairwise_stats, overlap_stats,
+        bipartite_match, absorb_buckets, post_graph, partition, token_df, token_counts, event_buckets, purify, pairwise_stats, labelled_stats, overlap_stats,
         share_vectors, beta_moments, whole_beta, expectation_split, inter_intra_similarity, file_sample, exact_split,
-        fuse_buckets, fuse_lists, track_parent, track_events, track_summary, track_length, closed_events, text_report, item_bucket_rows, stream_popular,
+        fuse_buckets, fuse_lists, track_parent, track_events, track_summary, track_length, closed_events, closed_events_json, file_page, text_report, item_bucket_rows, stream_popular,
     )
 }

@@ -152,3 +152,8 @@ def parse_labelled(reports: DataFrame, column: str = "value") -> DataFrame:
             yield pd.DataFrame(rows, columns=["signature", "cluster", "texts"])
 
     return reports.select(column).mapInPandas(run, "signature string, cluster int, texts array<string>")
+
+
+def page(listing: DataFrame, number: int, size: int = 10, order: str = "ts") -> DataFrame:
+    """Page ``number`` (from 0) of a listing."""
+    return listing.orderBy(order).offset(number * size).limit(size)

@@ -277,3 +277,17 @@ def test_lines_of_files_keep_their_order(spark, tmp_path):
         assert [tuple(r) for r in line_counts(read_lines(spark, str(tmp_path)), "ts").orderBy("ts").collect()] == [(7, 304, 2, 1), (8, 1, 0, 0)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_common_tokens_meet_in_parts(spark):
+    rng = random.Random(2)
+    rows = [(1, b, [(i, ["all", *rng.sample("abcdefgh", 3)]) for i in range(40)]) for b in (1, 2)]
+    df = _members(spark, rows)
+    got = {(r.bucket, r.a, r.b): r.shared for r in stats.token_pairs(df, place_posts=7).collect()}
+    assert got == {(b, i, j): len(set(s) & set(t)) for _, b, xs in rows for (i, s), (j, t) in itertools.combinations(xs, 2)}
+
+
+def test_fields_of_users(spark):
+    df = spark.sql("SELECT 1 AS id, named_struct('id', 7, 'location', 'x', 'geo_enabled', true) AS user")
+    (row,) = prepare.keep_fields(df, ["id", "user", "none"], ["location", "missing"]).collect()
+    assert row.asDict(True) == {"id": 1, "user": {"location": "x"}}
