@@ -40,7 +40,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that later jobs neither recompute it nor need its executors."""
+    """``df`` written once to the shared checkpoint folder, so that later jobs neither recompute it nor need its executors.
+
+    A checkpoint keeps the optimizer's guess of its size, which every join multiplies; over rounds of joins the guess gets
+    so many digits that planning never ends. A guess beyond 63 bits, which tells nothing any more, is left out.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    written = df.checkpoint(eager=True)
+    plan = written._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= 63:
+        return written
+    plain = spark._jsparkSession.internalCreateDataFrame(plan.analyzed().collectLeaves().head().rdd(), written._jdf.schema(), False)
+    return DataFrame(plain, spark)
+
+
+def _cut_in_place(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -55,7 +70,7 @@ def cut_by(df: DataFrame, *keys: str) -> DataFrame:
     before = conf.get(name)
     conf.set(name, "false")
     try:
-        return cut(df.repartition(*keys).sortWithinPartitions(*keys))
+        return _cut_in_place(df.repartition(*keys).sortWithinPartitions(*keys))
     finally:
         conf.set(name, before)
 
