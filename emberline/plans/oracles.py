@@ -220,8 +220,9 @@ def _absorbing() -> str:
     out = []
     for k in range(1, ROUNDS + 1):
         m = f"m{k - 1}"
+        merged = f" WHERE w IN (SELECT w FROM r{k - 1})" if k > 1 else ""  # only where something merged can more merge
         out.append(f"""
-small{k} AS MATERIALIZED (SELECT * FROM {m} SEMI JOIN (SELECT w, bucket FROM {m} GROUP BY w, bucket HAVING count(*) <= {ABSORB_LARGEST}) USING (w, bucket)),
+small{k} AS MATERIALIZED (SELECT * FROM {m} SEMI JOIN (SELECT w, bucket FROM {m} GROUP BY w, bucket HAVING count(*) <= {ABSORB_LARGEST}) USING (w, bucket){merged}),
 alike{k} AS (
   SELECT x.w, x.bucket AS a, x.id AS ida, y.bucket AS b, y.id AS idb FROM small{k} x JOIN small{k} y ON x.w = y.w AND x.bucket <> y.bucket
   WHERE x.id = y.id OR len(x.kinds) = 0 OR len(y.kinds) = 0
@@ -235,7 +236,7 @@ ties{k} AS (SELECT w, a, b FROM near{k} UNION SELECT w, b, a FROM near{k}),
 far{k} AS (SELECT w, a AS v, a AS r FROM ties{k} UNION SELECT e.w, x.v, e.b FROM far{k} x JOIN ties{k} e ON e.w = x.w AND e.a = x.r),
 r{k} AS MATERIALIZED (SELECT w, v AS bucket, min(r) AS root FROM far{k} GROUP BY w, v),
 m{k} AS MATERIALIZED (
-  SELECT w, coalesce(root, bucket) AS bucket, id, any_value(kinds) AS kinds FROM {m} LEFT JOIN r{k} USING (w, bucket) GROUP BY w, coalesce(root, bucket), id)""")
+  SELECT w, coalesce(root, bucket) AS bucket, id, min(kinds) AS kinds FROM {m} LEFT JOIN r{k} USING (w, bucket) GROUP BY w, coalesce(root, bucket), id)""")
     return ",".join(out)
 
 
@@ -381,7 +382,7 @@ ORACLES = {
           bool_or(t_bucket) AS t_bucket, bool_or(i_bucket) AS i_bucket, coalesce(any_value(posts), '') AS posts, coalesce(any_value(urls), '') AS urls
         FROM roots r JOIN heads h ON h.bucket_id = r.bucket LEFT JOIN tweets t ON t.w = r.w AND t.root = r.root LEFT JOIN pictures p ON p.w = r.w AND p.root = r.root GROUP BY r.w, r.root""",
     "absorb_buckets": f"""
-        WITH RECURSIVE {_members("merge")}, m0 AS (SELECT w, bucket, id, kinds FROM members), {_ABSORBED}
+        WITH RECURSIVE {_members("merge")}, m0 AS (SELECT w, bucket, id, list_sort(kinds) AS kinds FROM members), {_ABSORBED}
         SELECT w, bucket, count(*) AS posts FROM m{ROUNDS} GROUP BY w, bucket""",
     "absorb": f"""
         WITH RECURSIVE {_CLUSTERS}, both_ways AS (SELECT w, a, b FROM close UNION SELECT w, b, a FROM close),
@@ -389,7 +390,7 @@ ORACLES = {
         clusters AS (SELECT w, v AS kwp, min(r) AS root FROM reached GROUP BY w, v),
         merged AS (
           SELECT b.w, c.root AS bucket, b.id, min(r.text) AS text FROM bucket_rows b JOIN clusters c ON c.w = b.w AND c.kwp = b.kwp JOIN ready r ON r.ts = b.ts AND r.id = b.id GROUP BY 1, 2, 3),
-        m0 AS (SELECT w, bucket, id, list_distinct({_tokens("coalesce(text, '')", 1)}) AS kinds FROM merged), {_ABSORBED},
+        m0 AS (SELECT w, bucket, id, list_sort(list_distinct({_tokens("coalesce(text, '')", 1)})) AS kinds FROM merged), {_ABSORBED},
         origins AS (SELECT DISTINCT w, bucket AS b0 FROM m0),
         homes AS ({_homes()}),
         words AS (SELECT h.w, h.b, array_to_string(list_sort(list_distinct(flatten(list(string_split(c.kwp, '__'))))), '__') AS signature FROM homes h JOIN clusters c ON c.w = h.w AND c.root = h.b0 GROUP BY h.w, h.b),
