@@ -31,7 +31,7 @@ def reports(buckets: DataFrame, items: bool = True) -> DataFrame:
     """``ts, bucket_id, report``: the text of each bucket, numbered by its position in its file.
 
     ``buckets`` has ``ts, pos, bucket_id, signature, t_bucket, i_bucket, twitter, instagram``, and optionally
-    ``likelihood``. Items are numbered by the first item that is equal to them, as earlier reports have it. Null texts and names are written as nothing.
+    ``likelihood``. The words, rules and indents of the format are fixed values. Items are numbered by the first item that is equal to them, as earlier reports have it. Null texts and names are written as nothing.
     """
     number = F.row_number().over(Window.partitionBy("ts").orderBy("pos", "bucket_id"))
     none = F.array().cast("array<string>")
