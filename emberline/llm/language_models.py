@@ -3,7 +3,8 @@
 Each language has an interpolated Kneser-Ney model of the characters inside words (a word's characters are predicted
 from up to ``ORDER`` - 1 before them, its start among these). The models are stored together: for each order the codes
 of all n-grams in a sorted array, with a row of log probabilities, one for each language, and the contexts' back-off
-weights likewise. Words are scored by binary search in these arrays, each distinct word of a batch once. A passage gets
+weights likewise. They are fitted on all samples and all labelled texts, whose n-grams are counted by the executors. Words are
+scored by binary search in these arrays, each distinct word of a batch once. A passage gets
 the language of lowest cross-entropy per character, and is cut in two where two languages explain it so much better than
 one as they never do sentences of one language. It is rejected as no sentence if too few of its words are likely ones in
 its language, which also sets aside names, invented words and single foreign words. All bounds are calibrated on labelled
@@ -17,6 +18,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.encoding_repair import Repair
+from emberline.session import cut, discard
 
-ORDER, DISCOUNT, BITS = 5, 0.75, 9
+ORDER, DISCOUNT, BITS = 5, 0.75, 12
+#: The start and the end of a word in an n-gram.
+EDGE = "\n"
 #: Of words of held-out sentences in their own language: the share that counts as likely, and that isn't noise.
 LIKELY_SHARE, KNOWN_SHARE = 0.75, 0.95
 #: The share of held-out sentences that must hold the least number of likely words.
 SENTENCE_SHARE = 0.85
 #: How much better than any split of a held-out sentence a cut has to be.
 CUT_MARGIN = 1.5
+#: Of a word's frequencies in the languages, the share of the one whose word it is; names and loanwords are no language's own.
+OWN_SHARE = 0.9
 
 #: Two- and three-letter codes of the languages (fixed values).
 CODES = {
@@ -46,6 +53,8 @@ CODES = {
 }
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words in the scripts of the languages. Others have no part in the models, so that the alphabet stays below 2 ** BITS letters.
+_OWN = re.compile("[a-zªµºß-öø-ʯЀ-ԯḀ-ỿﬀ-ﬆ]+")
 _DROP = re.compile(r"https?:\S*|[@#]\w+(?:[-.]\w+)*|&\w+;")
 #: What ends a passage.
 _END = re.compile(r"[.!?…|/\n\r;]+|\s[—–\ufffd-]+\s|:\s")
@@ -57,6 +66,17 @@ def passages(text: str) -> list[list[str]]:
     return [words for part in _END.split(clean) if (words := _WORD.findall(part.lower()))]
 
 
+def grams_of(words: Counter) -> Counter:
+    """How often each character of the words, and their end, comes after the up to ``ORDER`` - 1 before it."""
+    grams: Counter = Counter()
+    for word, n in words.items():
+        if _OWN.fullmatch(word):
+            edged = EDGE + word + EDGE
+            for i in range(1, len(edged)):
+                grams[edged[max(0, i - ORDER + 1) : i + 1]] += n
+    return grams
+
+
 @dataclass(frozen=True)
 class Bounds:
     """Cross-entropies (nats a character) up to which a word is likely in a language, and above which it tells nothing of
@@ -70,63 +90,58 @@ class Bounds:
 
 
 class LanguageModels:
-    """The models of all languages over one alphabet; ``samples`` has the sample texts of each language."""
+    """The models of all languages over one alphabet; ``samples`` has the sample texts of each language, ``more`` counts of other texts' n-grams."""
 
-    def __init__(self, samples: dict[str, list[str]], bounds: Bounds = Bounds()) -> None:
+    def __init__(self, samples: dict[str, list[str]], bounds: Bounds = Bounds(), more: dict[str, Counter] | None = None) -> None:
         self.bounds = bounds
         self.languages = sorted(samples)
-        words = {lang: Counter(w for t in texts for p in passages(t) for w in p) for lang, texts in samples.items()}
-        letters = sorted({c for counts in words.values() for w in counts for c in w})
+        counts = {lang: grams_of(Counter(w for t in texts for p in passages(t) for w in p)) for lang, texts in samples.items()}
+        for lang in self.languages if more else ():
+            counts[lang].update(more.get(lang, {}))
+        grams = sorted(set().union(*counts.values()))
+        letters = sorted({c for g in grams for c in g} - {EDGE})
         # 0 pads, 1 is the start and the end of a word, 2 any other character.
         self.alphabet = {c: i + 3 for i, c in enumerate(letters)}
-        models = [self._fit(words[lang], len(letters) + 2) for lang in self.languages]
-        self.grams, self.values, self.contexts, self.weights = [], [], [], []
-        for n in range(1, ORDER + 1):
-            grams = sorted({g for m in models for g in m[0][n]})
-            self.grams.append(np.array(grams, np.int64))
-            self.values.append(np.log(np.array([[self._p(m, g, n) for m in models] for g in grams])).astype(np.float32))
-            contexts = sorted({c for m in models for c in m[1][n]})
-            self.contexts.append(np.array(contexts, np.int64))
-            self.weights.append(np.log(np.array([[m[1][n].get(c, 1.0) for m in models] for c in contexts])).astype(np.float32))
+        count = np.array([[counts[lang][g] for g in grams] for lang in self.languages], np.float64).reshape(len(self.languages), len(grams)).T
+        self._fit(grams, count, len(letters) + 2)
         self.unseen = float(np.log(1.0 / (len(letters) + 2)))
 
-    def _fit(self, words: Counter, size: int) -> tuple[list[dict], list[dict], int]:
+    def _fit(self, grams: list[str], count: np.ndarray, size: int) -> None:
         """Discounted probabilities and back-off weights of each order; lower orders count the characters before."""
-        counts: list[dict] = [Counter() for _ in range(ORDER + 1)]
-        for word, n in words.items():
-            codes = [1, *(self.alphabet[c] for c in word), 1]
-            for i in range(1, len(codes)):
-                counts[ORDER if i >= ORDER - 1 else i + 1][self._code(codes[max(0, i - ORDER + 1) : i + 1])] += n
-        for n in range(ORDER, 1, -1):  # continuation counts, together with the n-grams that begin a word
-            seen = {g & ((1 << BITS * (n - 1)) - 1) for g in counts[n]}
-            more = Counter(g & ((1 << BITS * (n - 1)) - 1) for g in counts[n])
-            for g in seen:
-                counts[n - 1][g] += more[g]
-        grams: list[dict] = [{} for _ in range(ORDER + 1)]
-        weights: list[dict] = [{} for _ in range(ORDER + 1)]
-        for n in range(1, ORDER + 1):
-            total, kinds = defaultdict(float), Counter()
-            for g, c in counts[n].items():
-                total[g >> BITS] += c
-                kinds[g >> BITS] += 1
-            for context, t in total.items():
-                weights[n][context] = DISCOUNT * kinds[context] / t
-            for g, c in counts[n].items():
-                grams[n][g] = (c - DISCOUNT) / total[g >> BITS]
-        return grams, weights, size
+        points = np.array(grams, f"U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+        places = np.array([ord(EDGE), *map(ord, self.alphabet)], np.uint32)
+        numbers = np.array([1, *self.alphabet.values()], np.int64)
+        code = np.zeros(len(grams), np.int64)
+        for k in range(ORDER):
+            code = np.where(points[:, k] > 0, code << BITS | numbers[np.searchsorted(places, points[:, k])], code)
+        length = (points > 0).sum(axis=1)
+        orders = []
+        after, kinds = code[:0], count[:0]
+        for n in range(ORDER, 0, -1):  # continuation counts, together with the n-grams that begin a word
+            own, total = self._summed(np.concatenate([code[length == n], after]), np.concatenate([count[length == n], kinds]))
+            orders.append((own, total))
+            after, kinds = own & ((1 << BITS * (n - 1)) - 1), (total > 0).astype(np.float64)
+        self.grams, self.values, self.contexts, self.weights = [], [], [], []
+        lower = np.full((1, len(self.languages)), 1.0 / size)
+        for n, (own, total) in enumerate(reversed(orders), 1):
+            context, sums = self._summed(own >> BITS, total)
+            weight = DISCOUNT * self._summed(own >> BITS, (total > 0).astype(np.float64))[1] / np.maximum(sums, 1)
+            weight[sums == 0] = 1.0
+            place = np.searchsorted(context, own >> BITS)
+            below = np.searchsorted(self.grams[-1], own & ((1 << BITS * (n - 1)) - 1)) if n > 1 else np.zeros(len(own), np.int64)
+            lower = np.where(total > 0, (total - DISCOUNT) / np.maximum(sums, 1)[place], 0.0) + weight[place] * lower[below]
+            self.grams.append(own)
+            self.values.append(np.log(lower).astype(np.float32))
+            self.contexts.append(context)
+            self.weights.append(np.log(weight).astype(np.float32))
 
     @staticmethod
-    def _code(codes: list[int]) -> int:
-        value = 0
-        for c in codes:
-            value = value << BITS | c
-        return value
-
-    def _p(self, model: tuple, gram: int, n: int) -> float:
-        if n == 0:
-            return 1.0 / model[2]
-        lower = self._p(model, gram & ((1 << BITS * (n - 1)) - 1), n - 1)
-        return model[0][n].get(gram, 0.0) + model[1][n].get(gram >> BITS, 1.0) * lower
+    def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes, sorted, and the sums of their rows of counts."""
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[first], np.add.reduceat(counts[order], first, axis=0) if len(first) else counts
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities (words x languages) and the number of predicted characters of each word."""
@@ -172,7 +187,7 @@ class LanguageModels:
         end = np.append(start[1:], len(word))
         size = end - start
         own = np.repeat(np.arange(len(start)), size)
-        sums = np.cumsum(scores[word], axis=0)
+        sums = np.cumsum(scores[word], axis=0, dtype=np.float64)  # else the passages before in a batch would count
         before = sums - np.repeat(sums[start] - scores[word[start]], size, axis=0)
         total = self._totals(scores, word, start)
         two = before.max(axis=1) + (total[own] - before).max(axis=1)
@@ -198,18 +213,19 @@ class LanguageModels:
         scores, length = self.score(list(number))
         return np.array(word), np.array(size), np.array(owner), np.array(place), scores, -scores / length[:, None]
 
-    def sentences(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each passage, or part of one, that is a sentence: number of the text, number in it, language number and confidence."""
+    def sentences(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each passage, or part of one, that is a sentence: number of the text, number in it, language number, confidence, and the part's words from and to."""
         none = np.zeros(0, np.int64)
         if (found := self._worded(texts)) is None:
-            return none, none, none, none.astype(float)
+            return none, none, none, none.astype(float), none, none
         word, size, owner, place, scores, entropy = found
         useful = (entropy.min(axis=1) <= self.bounds.noise)[word]
+        within = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size))[useful]
         word, kept = word[useful], np.repeat(np.arange(len(size)), size)[useful]
         if not len(word):
-            return none, none, none, none.astype(float)
+            return none, none, none, none.astype(float), none, none
         known, part = np.unique(kept, return_inverse=True)
-        owner, place = owner[known], place[known]
+        owner, place, size = owner[known], place[known], size[known]
         while True:  # parts are cut in two as long as that explains them much better
             start = np.searchsorted(part, np.arange(len(owner)))
             at, gain = self._cuts(scores, word, start)
@@ -219,7 +235,7 @@ class LanguageModels:
             begins = np.zeros(len(word), bool)
             begins[start] = begins[(start + at)[cut]] = True
             whole = part[begins]
-            owner, place, part = owner[whole], place[whole], np.cumsum(begins) - 1
+            owner, place, size, part = owner[whole], place[whole], size[whole], np.cumsum(begins) - 1
         total = self._totals(scores, word, start)
         best = total.argmax(axis=1)
         likely = np.add.reduceat((entropy[word, best[part]] <= self.bounds.likely).astype(np.int64), start)
@@ -227,7 +243,10 @@ class LanguageModels:
         odds = np.exp((total - total.max(axis=1, keepdims=True)) / self.bounds.temper)
         sure = odds.max(axis=1) / odds.sum(axis=1)
         good = likely >= self.bounds.least
-        return owner[good], place[good], best[good], sure[good]
+        head = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])
+        begin = np.where(head, 0, within[start])
+        end = np.where(np.append(head[1:], True), size, np.append(begin[1:], 0))
+        return owner[good], place[good], best[good], sure[good], begin[good], end[good]
 
 
 def named_language(label):  # noqa: ANN001, ANN201
@@ -248,7 +267,7 @@ def _identify(models: LanguageModels, letters: str, several: int, every: bool):
             for text in batch.column(several).to_pylist():
                 found = repair(text) if text and not text.isascii() else None
                 texts.append(passages(found[0] if found else text or ""))
-            owner, place, best, sure = models.sentences(texts)
+            owner, place, best, sure, _, _ = models.sentences(texts)
             names = np.array(models.languages)
             if not every:  # a language once a text, with its surest passage
                 order = np.lexsort((-sure, best, owner))
@@ -264,31 +283,91 @@ def _identify(models: LanguageModels, letters: str, several: int, every: bool):
     return run
 
 
-def fit(
-    samples: DataFrame, more: DataFrame | None = None, lang: str = "lang", text: str = "text", most: int = 2000, most_each: int = 200, sure: float = 0.99
-) -> LanguageModels:
-    """Models of the languages of ``samples``, of which at most ``most`` rows are used, and of labelled texts.
+def _pieces(texts: list[str], characters: int = 1 << 20) -> Iterator[list[int]]:
+    """The numbers of texts one after the other that together have about so many characters, or of one text that has more."""
+    piece, size = [], 0
+    for i, text in enumerate(texts):
+        piece.append(i)
+        size += len(text)
+        if size >= characters:
+            yield piece
+            piece, size = [], 0
+    if piece:
+        yield piece
+
+
+def _confirmed(models: LanguageModels, sure: float, words_kept: int = 200_000):
+    """Counts of the words in the passages of labelled texts (``lang, text``) to which the models give the label's language."""
+
+    def counted(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in words.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = defaultdict(Counter)
+        for batch in batches:
+            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for piece in _pieces(texts):
+                parts = [passages(texts[i]) for i in piece]
+                for i, j, k, c, begin, end in zip(*models.sentences(parts)):
+                    if c >= sure and models.languages[k] == labels[piece[i]]:
+                        words[models.languages[k]].update(parts[i][j][begin:end])
+                if sum(map(len, words.values())) > words_kept:
+                    yield from counted(words)
+                    words.clear()
+        yield from counted(words)
+
+    return run
+
+
+def _own_grams(languages: list[str], totals: list[int], known: set[str]):
+    """Counts of the n-grams of words (``word``, its count in each language): of ``known`` ones, and of those that are one language's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            counts = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(languages))])
+            share = counts / np.maximum(totals, 1)[:, None]
+            kept = (share >= OWN_SHARE * share.sum(axis=0)) | np.fromiter((w in known for w in words), bool, len(words))
+            for lang, own, count in zip(languages, kept & (counts > 0), counts):
+                grams = grams_of(Counter({words[i]: int(count[i]) for i in np.flatnonzero(own)}))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
+
+    return run
+
+
+def fit(samples: DataFrame, more: DataFrame | None = None, lang: str = "lang", text: str = "text", most_each: int | None = None, sure: float = 0.99) -> LanguageModels:
+    """Models of the languages of all ``samples`` and of labelled texts.
 
-    ``more`` has texts whose labels may be wrong; of each language at most ``most_each`` rows are read, and those of
-    their passages are added to the samples to which the samples' own models give the same language at least ``sure``.
+    ``more`` has texts whose labels may be wrong; those of their passages, or parts of them, are added to the samples to
+    which the samples' own models give the same language at least ``sure``, without the words that the samples lack and
+    several languages share, which are mostly names. All its texts are read, by the executors, and only sums of n-grams
+    come to the driver; with ``most_each`` only so many of each language are, the first by a hash. The bounds are those of
+    the samples' own models, as the texts may hold the very sentences of the samples.
     """
     texts: dict[str, list[str]] = defaultdict(list)
-    rows = samples.where(F.col(lang).isin(list(CODES)) & F.col(text).isNotNull()).orderBy(lang, text).limit(most)
-    for row in rows.select(lang, text).collect():
+    for row in samples.where(F.col(lang).isin(list(CODES)) & F.col(text).isNotNull()).select(lang, text).orderBy(lang, text).collect():
         texts[row[0]].append(row[1])
     bounds = calibrated(texts)
     first = LanguageModels(texts, bounds)
-    if more is None:
+    if more is None or not texts:
         return first
-    for code in first.languages:
+    labelled = more.where(F.col(lang).isin(first.languages) & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    if most_each is not None:
         # The same texts however the table is partitioned.
-        labelled = more.where((F.col(lang) == code) & (F.length(text) > 0)).select(text).orderBy(F.xxhash64(text), text).limit(most_each).collect()
-        parts = [passages(row[0]) for row in labelled]
-        owner, place, best, confidence = first.sentences(parts)
-        for i, j, k, c in zip(owner, place, best, confidence):
-            if c >= sure and first.languages[k] == code:
-                texts[code].append(" ".join(parts[i][j]))
-    return LanguageModels(texts, bounds)
+        each = [labelled.where(F.col("lang") == code).orderBy(F.xxhash64("text"), "text").limit(most_each) for code in first.languages]
+        labelled = reduce(DataFrame.unionAll, each)
+    found = labelled.mapInArrow(_confirmed(first, sure), "lang string, word string, n bigint")
+    each = [F.sum(F.when(F.col("lang") == code, F.col("n")).otherwise(0)).alias(code) for code in first.languages]
+    words = cut(found.groupBy("word").agg(*each))
+    totals = [n or 0 for n in words.agg(*(F.sum(code) for code in first.languages)).first()]
+    known = {w for own in texts.values() for t in own for p in passages(t) for w in p}
+    grams = words.mapInArrow(_own_grams(first.languages, totals, known), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    discard(words)
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for code, gram, n in zip(*(grams.column(k).to_pylist() for k in range(3))):
+        counts[code][gram] = n
+    return LanguageModels(texts, bounds, counts)
 
 
 def calibrated(samples: dict[str, list[str]]) -> Bounds:

@@ -337,3 +337,50 @@ def test_bounds_are_calibrated():
     assert 1.5 < bounds.likely < bounds.noise < 4.5
     assert bounds.least >= 2 and bounds.gain > 10
     assert language_models.calibrated({"en": ["one two three"]}) == language_models.Bounds()
+
+
+def test_models_are_of_all_samples_and_all_labelled_texts(spark):
+    texts = _samples()
+    sentence = next(t for t in texts["ru"] if len(language_models.passages(t)) == 1)
+    rows = [("de", texts["de"][k % len(texts["de"])]) for k in range(2100)] + [("ru", t) for t in texts["ru"]]
+    named = [" ".join([*language_models.passages(sentence)[0], "щъ" + "".join(chr(ord("а") + int(d)) for d in str(k))]) for k in range(300)]
+    more = [("ru", t) for t in named] + [("de", t) for t in named] + [("xx", sentence), (None, sentence), ("ru", None), ("ru", "")]
+    samples = {"de": [t for lang, t in rows if lang == "de"], "ru": texts["ru"]}
+    whole = language_models.LanguageModels(samples | {"ru": [*texts["ru"], *named]})
+    for parts in (1, 7):
+        fitted = language_models.fit(spark.createDataFrame(rows, "lang string, text string").repartition(parts), spark.createDataFrame(more, "lang string, text string").repartition(parts))
+        assert fitted.languages == ["de", "ru"]
+        assert fitted.alphabet == whole.alphabet
+        assert all((a == b).all() for a, b in zip([*fitted.grams, *fitted.values, *fitted.weights], [*whole.grams, *whole.values, *whole.weights], strict=True))
+
+
+def test_of_a_mixed_labelled_passage_only_the_labels_part_is_fitted(spark):
+    samples = spark.read.parquet("/root/testdata/sf0.001/lang_sample.parquet")
+    first = language_models.fit(samples)
+    fitted = language_models.fit(samples, spark.createDataFrame([("en", MIXED[0][0])] * 9, "lang string, text string"))
+    gain = (fitted.score(["yesterday", "pescadores"])[0] - first.score(["yesterday", "pescadores"])[0])[:, first.languages.index("en")]
+    assert gain[0] > 2
+    assert gain[1] < 1
+
+
+def test_names_in_the_texts_of_several_languages_are_not_learned(spark):
+    samples = spark.read.parquet("/root/testdata/sf0.001/lang_sample.parquet")
+    texts, first = _samples(), language_models.fit(samples)
+    named = []
+    for lang, word in (("nl", "fietsenmaker"), ("fr", "boulangerie")):
+        sentence = next(t for t in texts[lang] if len(language_models.passages(t)) == 1)
+        named.append((lang, " ".join([*language_models.passages(sentence)[0], "kurzomfelzir", word])))
+    fitted = language_models.fit(samples, spark.createDataFrame(named * 40, "lang string, text string"))
+    words = ["kurzomfelzir", "fietsenmaker", "boulangerie"]
+    gain = fitted.score(words)[0] - first.score(words)[0]
+    assert gain[0].max() < 2
+    assert gain[1, first.languages.index("nl")] > 4
+    assert gain[2, first.languages.index("fr")] > 4
+
+
+def test_letters_of_other_scripts_leave_the_models_alone():
+    samples = _samples()
+    odd = "".join(chr(0x4E00 + k) for k in range(5000))
+    fitted, plain = (language_models.LanguageModels(samples | {"en": [*samples["en"], *more]}) for more in ([" ".join(odd)], []))
+    assert fitted.alphabet == plain.alphabet
+    assert (fitted.score(["bridge", odd[:3]])[0] == plain.score(["bridge", odd[:3]])[0]).all()
