@@ -136,23 +136,30 @@ _TWO = re.compile("[^\x00-\x7f]{2}")
 _REST = re.compile("ðŸ|â€|ï¸|Ã[\xa0-\xbf]|Â[\xa0-\xbf]|≡ƒ|├[^\x00-\x7f]|╨|╤|[A-Za-z]√[^\x00-\x7f\\s]|√[^\x00-\x7f\\s][A-Za-z]|ü|рџ|вЂ")
 
 
+def letter_pairs(text: str) -> Counter:
+    """How often a letter comes after another one, or after the start of a word, with the words' script before the two."""
+    pairs: Counter = Counter()
+    for word, n in Counter(re.findall("[^\\W\\d_]+", text.lower())).items():
+        script = "cyrillic" if "а" <= word[0] <= "ё" else "latin" if word[0] < "ʰ" else None
+        for a, b in zip("^" + word, word + "$") if script else ():
+            pairs[script, a, b] += n
+    return pairs
+
+
 class Repair:
-    """Finds and repairs garbled texts. ``letters``: sample of good text in all languages, for the letters' frequencies."""
+    """Finds and repairs garbled texts. ``letters``: good text in all languages, or its ``letter_pairs``, for the letters' frequencies."""
 
-    def __init__(self, letters: str) -> None:
-        words = re.findall("[^\\W\\d_]+", letters.lower())
-        self.cyrillic = self._model(w for w in words if "а" <= w[0] <= "ё")
-        self.latin = self._model(w for w in words if w[0] < "ʰ")
+    def __init__(self, letters: str | Counter) -> None:
+        pairs = letter_pairs(letters) if isinstance(letters, str) else letters
+        self.cyrillic, self.latin = (self._model({(a, b): n for (own, a, b), n in pairs.items() if own == script}) for script in ("cyrillic", "latin"))
         self.known: dict[str, float] = {}
 
     @staticmethod
-    def _model(words) -> tuple[dict, dict]:  # noqa: ANN001
+    def _model(pairs: dict[tuple[str, str], int]) -> tuple[dict, dict]:
         """Log probabilities of a letter after another one, and of a letter never seen after it."""
-        pairs, single = Counter(), Counter()
-        for word in words:
-            for a, b in zip("^" + word, word + "$"):
-                pairs[a, b] += 1
-                single[a] += 1
+        single: Counter = Counter()
+        for (a, _), n in pairs.items():
+            single[a] += n
         size = 0.3 * (len(single) + 1)
         return {k: math.log((n + 0.3) / (single[k[0]] + size)) for k, n in pairs.items()}, {a: math.log(0.3 / (n + size)) for a, n in single.items()}
 
@@ -322,7 +329,7 @@ class Repair:
         return (now, layers, not left) if layers or left else None
 
 
-def _repairing(letters: str, several: int):
+def _repairing(letters: str | Counter, several: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = Repair(letters)
         for batch in batches:
@@ -340,13 +347,20 @@ def _repairing(letters: str, several: int):
     return run
 
 
-def letters_of(samples: DataFrame, text: str = "text", most: int = 2000) -> str:
-    """The sample sentences of all languages, joined; at most ``most`` of them are used to fit the letters' frequencies."""
-    rows = samples.where(F.col(text).isNotNull()).orderBy(text).select(text).limit(most).collect()
-    return " ".join(r[0] for r in rows)
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = letter_pairs(" ".join(batch.column(0).to_pylist()))
+        columns = [pa.array([k[i] for k in pairs], pa.string()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(pairs.values()), pa.int64())], ["script", "a", "b", "n"])
+
+
+def letters_of(samples: DataFrame, text: str = "text") -> Counter:
+    """The ``letter_pairs`` of all sample sentences; the executors count them, only the sums come to the driver."""
+    pairs = samples.where(F.col(text).isNotNull()).select(text).mapInArrow(_counted_pairs, "script string, a string, b string, n bigint")
+    return Counter({(r.script, r.a, r.b): r.n for r in pairs.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()})
 
 
-def garbled(rows: DataFrame, keys: list[str], text: str, letters: str) -> DataFrame:
+def garbled(rows: DataFrame, keys: list[str], text: str, letters: str | Counter) -> DataFrame:
     """The rows whose ``text`` holds wrongly decoded characters: ``keys``, ``text``, ``restored``, ``layers``, ``complete``.
 
     ``restored`` is the text with every sequence put right that could be; ``complete`` tells whether no sign of garbling

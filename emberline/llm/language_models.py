@@ -259,7 +259,7 @@ def named_language(label):  # noqa: ANN001, ANN201
     return named
 
 
-def _identify(models: LanguageModels, letters: str, several: int, every: bool):
+def _identify(models: LanguageModels, letters: str | Counter, several: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = Repair(letters)
         for batch in batches:
@@ -404,7 +404,7 @@ def calibrated(samples: dict[str, list[str]]) -> Bounds:
     return Bounds(likely, noise, max(2, least), min((0.5 * k for k in range(2, 33)), key=loss), CUT_MARGIN * max(gains))
 
 
-def languages(rows: DataFrame, keys: list[str], text: str, models: LanguageModels, letters: str, every: bool = False) -> DataFrame:
+def languages(rows: DataFrame, keys: list[str], text: str, models: LanguageModels, letters: str | Counter, every: bool = False) -> DataFrame:
     """``keys, passage int, found string, confidence double``: the languages of each row's sentences.
 
     Each language comes once a row with its surest passage, or with ``every`` each passage that is a sentence. Garbled

@@ -384,3 +384,14 @@ def test_letters_of_other_scripts_leave_the_models_alone():
     fitted, plain = (language_models.LanguageModels(samples | {"en": [*samples["en"], *more]}) for more in ([" ".join(odd)], []))
     assert fitted.alphabet == plain.alphabet
     assert (fitted.score(["bridge", odd[:3]])[0] == plain.score(["bridge", odd[:3]])[0]).all()
+
+
+def test_letters_are_of_all_samples(spark):
+    texts = [f"{GOOD[0]} {k}" for k in range(2100)] + [RUSSIAN, None, "", "東京 x"]
+    whole = encoding_repair.Repair(" ".join(t for t in texts if t))
+    bad = "Школа просит о помощи прямо сейчас".encode("koi8-r").decode("latin-1")
+    for parts in (1, 7):
+        letters = encoding_repair.letters_of(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts))
+        repair = encoding_repair.Repair(letters)
+        assert (repair.cyrillic, repair.latin) == (whole.cyrillic, whole.latin)
+        assert repair(bad) == whole(bad) == ("Школа просит о помощи прямо сейчас", 1, True)
