@@ -120,6 +120,15 @@ def test_absorb_reaches_a_fixpoint(spark):
     assert sorted(map(tuple, got)) == [(1, 3), (4, 1)]
 
 
+def test_absorbing_broadcasts_no_table_of_buckets(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(cluster, "small_or_not", lambda df, *rest: asked.append(df.columns) or df)
+    rows = [(1, 1, [(1, ["a"]), (2, ["b"])]), (1, 2, [(2, ["b"]), (3, ["c"])]), (2, 3, [(3, ["c"])])]
+    got = cluster.absorbed(_members(spark, rows)).groupBy("bucket").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 3), (3, 1)]
+    assert all(columns == ["w"] for columns in asked)
+
+
 def test_large_buckets_are_not_absorbed(spark):
     rows = [(1, 1, [(i, ["a"]) for i in range(101)]), (1, 2, [(1, ["a"])])]
     assert cluster.absorbed(_members(spark, rows)).select("bucket").distinct().count() == 2
