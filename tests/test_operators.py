@@ -1,12 +1,15 @@
 import itertools
 import random
 from dataclasses import replace
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.config import WHOLE, EngineConfig
 from emberline.operators import buckets, cluster, components, detect, fusion, match, prepare, stats, track
+from emberline.session import ensure_checkpoint_dir
 from emberline.sources.files import read_stage, write_csv, write_stage
 
 POSTS = "ts bigint, line_no bigint, id bigint, text string"
@@ -129,6 +132,24 @@ def test_absorbing_broadcasts_no_table_of_buckets(spark, monkeypatch):
     assert all(columns == ["w"] for columns in asked)
 
 
+def test_matching_makes_tokens_once_and_leaves_only_its_result(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def own(tokens):
+        made.add(1)
+        return tokens
+
+    rows = [(1, b, [(10 * b + i, ["a", f"w{b}{i}"]) for i in range(5)]) for b in range(4)]
+    df = _members(spark, rows).select("w", "bucket", "id", F.udf(own, "array<string>")("tokens").alias("tokens"))
+    cut_tables = lambda: {p.name for p in Path(urlparse(spark.sparkContext.getCheckpointDir()).path).iterdir()}
+    ensure_checkpoint_dir(spark)
+    before = cut_tables()
+    found = match.bucket_matches(df, df, 0.5, 0.5)
+    assert found.where("a <> b").count() == 12
+    assert made.value == 20
+    assert len(cut_tables() - before) == 1
+
+
 def test_large_buckets_are_not_absorbed(spark):
     rows = [(1, 1, [(i, ["a"]) for i in range(101)]), (1, 2, [(1, ["a"])])]
     assert cluster.absorbed(_members(spark, rows)).select("bucket").distinct().count() == 2
